@@ -4,20 +4,26 @@ Byte-level BPE splits a text before every single space between two characters
 that aren't white space, and at a single line end between such characters, so
 the ids of a text are the ids of its pieces in order. A worker keeps the ids
 of the pieces it has met; the library encodes the new ones of a batch in one
-call. A text with other white space, or with a mark used here, goes to the
-library whole. Tokenizers of another kind always do.
+call: pieces of letters as they are after the byte step, where only a piece's
+first token holds the space it begins with, and others as texts with a special
+token between them. A text with other white space, or with a mark used here,
+goes to the library whole. Tokenizers of another kind always do.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
+import re
 
 import numpy as np
 
 #: Pieces that a worker keeps at most; then it starts again.
 KEEP = 600_000
 _HEAD = "\x01"
+#: Pieces of letters and a run of marks, which are two words of their own to the tokenizer.
+_PLAIN = re.compile(r"\x01?([^\W\d_]+)([.,;:!?)]*)")
 
 
 def vocabulary(path: str) -> str:
@@ -42,26 +48,58 @@ class Encoder:
         if self.pieces:
             self.joined = Tokenizer.from_str(spec)
             self.mark, self.mark_id = added[0]["content"], added[0]["id"]
+            self.words = Tokenizer.from_str(json.dumps(kind | {"pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "decoder": None, "added_tokens": []}))
+            with contextlib.suppress(AttributeError):  # new pieces are never in the model's own cache
+                self.words.model._resize_cache(0)
+            self.bytes = _byte_letters()
+            self.space = self.bytes[32]
+            self.bytes[10] = " "  # parts the words
+            self.begins = np.zeros(max(kind["model"]["vocab"].values()) + 1, dtype=bool)
+            self.begins[[k for t, k in kind["model"]["vocab"].items() if t.startswith(self.space)]] = True
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _words(self, text: str) -> np.ndarray:
+        """Ids of words parted by line feeds."""
+        return np.array(self.words.encode_batch_fast([text.encode().decode("latin-1").translate(self.bytes)], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, begins: np.ndarray, skip: int) -> None:
+        """Ids from one begin to the next, after `skip` ids, are a piece's."""
+        raw, ends = ids.tobytes(), [*(begins[1:] * 4).tolist(), len(ids) * 4]
+        for piece, a, b in zip(pieces, (begins * 4).tolist(), ends, strict=True):
+            self.memo[piece] = raw[a + 4 * skip : b]
+
     def _learn(self, new: set[str]) -> None:
-        """Encode new pieces in one text, with a token between them that no piece holds."""
-        good, texts = [], []
+        """Encode new pieces, many in one call."""
+        plain, heads, other, texts = [], [], [], []
+        inner, first = [], []
         for piece in new:
-            text = piece[1:] if piece[:1] == _HEAD else f" {piece}"
-            bare = text[1:] if text[:1] == " " else text
+            m = _PLAIN.fullmatch(piece)
+            if m and m[1].isalpha() and max(m[1]) < "\u0250":
+                text = f"{m[1]}\n{m[2]}" if m[2] else m[1]
+                if piece[0] == _HEAD:
+                    heads.append(piece)
+                    first.append(text)
+                else:
+                    plain.append(piece)
+                    inner.append(text)
+                continue
+            bare = piece[1:] if piece[:1] == _HEAD else piece
             if piece == "\n":
                 self.memo[piece] = self._ids("\n")
             elif bare and not bare[0].isspace() and not bare[-1].isspace() and self.mark not in bare and _HEAD not in bare:
-                good.append(piece)
-                texts.append(text)
-        if good:
-            ids = np.array(self.joined.encode_batch_fast([self.mark.join(texts)], add_special_tokens=False)[0].ids, dtype="<u4")
-            raw, at = ids.tobytes(), 0
-            for piece, cut in zip(good, [*(np.flatnonzero(ids == self.mark_id) * 4).tolist(), len(raw)], strict=True):
-                self.memo[piece], at = raw[at:cut], cut + 4
+                other.append(piece)
+                texts.append(bare if piece[:1] == _HEAD else f" {bare}")
+        if plain:
+            ids = self._words(" " + "\n ".join(inner))
+            self._keep(plain, ids, np.flatnonzero(self.begins[ids]), 0)
+        if heads:  # a space alone before each
+            ids = self._words(" \n" + "\n \n".join(first))
+            self._keep(heads, ids, np.flatnonzero(self.begins[ids]), 1)
+        if other:
+            ids = np.array(self.joined.encode_batch_fast([self.mark + self.mark.join(texts)], add_special_tokens=False)[0].ids, dtype="<u4")
+            self._keep(other, ids, np.flatnonzero(ids == self.mark_id), 1)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null is the empty text."""
@@ -83,6 +121,13 @@ class Encoder:
         return out
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for each byte: itself if it can be seen, else one from 256 on."""
+    seen = {b for r in ((33, 127), (161, 173), (174, 256)) for b in range(*r)}
+    hidden = iter(range(256, 512))
+    return {b: chr(b if b in seen else next(hidden)) for b in range(256)}
+
+
 _made: dict[int, Encoder] = {}
 
 

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Hashed features, and the lengths of n-grams.
 BITS, ORDERS = 15, (1, 2, 3)
@@ -148,15 +149,15 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return {"labels": labels, "idf": idf, "weights": weights, "temperature": temperature(logits, np.array([c for _, _, c in check]))}
 
 
-def identify(docs: DataFrame, model: dict, *, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score (calibrated probability, 0 to 1) in place of any such columns.
+def identify(docs: DataFrame, model: dict, *, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """docs with lang_out and score_out (calibrated probability, 0 to 1) in place of any such columns.
 
     A null text or one without a letter is `und` with score 0, and so is any
     text if the model has no labels. Only the text is looked at. Equal scores
     go to the first label in alphabetical order. Nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast({"labels": model["labels"], "idf": model["idf"], "weights": model["weights"] / model["temperature"]})
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in (lang_out, score_out)]
     at = kept.index(text_col)
 
     def run(batches):
@@ -172,8 +173,6 @@ def identify(docs: DataFrame, model: dict, *, text_col: str = "text") -> DataFra
                 k = int(p.argmax())
                 label.append(m["labels"][k])
                 score[i] = min(1.0, p[k])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label, pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label, pa.string()), pa.array(score)], names=[*kept, lang_out, score_out])
 
-    from pyspark.sql import types as T
-
-    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())]))

@@ -206,6 +206,6 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             sequence, offset = places.value.find(length, batch.column(batch.schema.get_field_index("at")).to_numpy())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    numbered = pieces.join(before, ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("at"))
+    numbered = pieces.join(before.hint("merge"), ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("at"))
     kind = pieces.schema["id"].dataType.simpleString()
     return numbered.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

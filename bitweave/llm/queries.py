@@ -72,6 +72,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archive(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitweave.llm.jaccard import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bitweave.llm.topk import top_k
 
@@ -84,5 +90,5 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_license_scan, op3_language_id, op4_lm_score, op5_warc, op7_top_k, op8_token_files, op9_html_text, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_license_scan, op3_language_id, op4_lm_score, op5_warc, op6_jaccard_join, op7_top_k, op8_token_files, op9_html_text, op10_decontaminate)}
 ORACLES: dict[str, str] = {"op5_warc": WARC_SQL, "op7_top_k": TOP_K_SQL}

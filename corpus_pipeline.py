@@ -1,16 +1,68 @@
 """From raw documents to packed sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
-written as Parquet and read again as the next stage's documents.
+written as Parquet and read again as the next stage's documents. All stages but
+the last return the columns of their input.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bitweave.llm.common import stored, table
+from bitweave.llm.decontaminate import WINDOW, decontaminate
+from bitweave.llm.jaccard import jaccard_classes
+from bitweave.llm.langid import UNKNOWN, identify
+from bitweave.llm.packing import pack
+from bitweave.llm.queries import language_model, tokenizer_path
 
-STAGES: list = []
+#: A document goes if no language is this likely.
+LEAST_LIKELY = 0.5
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose language the classifier knows; those without a letter go.
+
+    The classifier learns from the labels among docs. Without any label nothing
+    can be told, so nothing goes.
+    """
+    model = language_model(docs)
+    if not model["labels"]:
+        return docs
+    found = identify(docs, model, lang_out="__lang", score_out="__score")
+    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= LEAST_LIKELY)).select(docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each class of near-duplicates.
+
+    Documents without words or with a null id are in no class and stay. Of rows
+    that repeat an id and a text one stays.
+    """
+    classes = jaccard_classes(docs.select("doc_id", "text"))
+    kept = classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
+    kept = stored(kept.withColumnRenamed("doc_id", "__id"), "kept")
+    out = docs.join(kept, docs["doc_id"] == kept["__id"], "left").where(F.col("__id").isNotNull() | docs["doc_id"].isNull()).select(docs.columns)
+    if not kept.where("__rows > 1").isEmpty():
+        named, bare = out.where("doc_id is not null"), out.where("doc_id is null")
+        out = named.dropDuplicates(["doc_id", "text"]).unionByName(bare)
+    return out
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a whole window of benchmark words."""
+    found = decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    bad = found.where(F.col("n_hit") >= WINDOW).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]), "left_anti").select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences."""
+    return pack(docs, tokenizer_path())
+
+
+STAGES = [("language", known_language), ("near-duplicates", one_of_each), ("decontamination", without_benchmarks), ("packing", packed)]
 #: SQL can express neither the classifier nor the tokenizer; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 

@@ -1 +1 @@
-
+"""Column expressions on integers and bits, and the coder's fixed tables."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,10 +75,13 @@ def pad_to_word(bits: Column, word: int) -> Column:
 
 
 def packed(bits: Column) -> Column:
-    """A string of bits, whole bytes of it, as binary."""
-    parts = F.sequence(F.lit(1), F.greatest(F.length(bits), F.lit(1)), F.lit(32))
-    hexes = F.transform(parts, lambda i: F.call_function("lpad", F.conv(F.substring(bits, i, F.lit(32)), 2, 16), F.ceil(F.length(F.substring(bits, i, F.lit(32))) / 4).cast("int"), F.lit("0")))
-    return F.when(bits == "", F.unhex(F.lit(""))).otherwise(F.unhex(F.array_join(hexes, "")))
+    """A string of bits, whole bytes of it, as binary. Built-in functions would take a substring for every few bits."""
+
+    @F.pandas_udf("binary")
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(lambda s: int("1" + s, 2).to_bytes(len(s) // 8 + 1, "big")[1:])
+
+    return run(bits)
 
 
 def folded_difference(value: Column, previous: Column, low: Column, high: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +38,6 @@ class Settings:
     stop_stage: int = 4
     compat: bool = False
     dwt: str = "integer"
-    extra: dict = field(default_factory=dict)
 
     def problems(self) -> tuple[list[str], list[str]]:
         """(errors, warnings)."""
@@ -91,12 +90,10 @@ def compress(pixels: DataFrame, options: Settings = Settings()) -> DataFrame:  #
     rows = rows.withColumns({k: F.lit(v) for k, v in fixed.items()} | {"first": F.col("segment_id") == 0, "last": last, "pixel_depth": F.col("bdepth")})
     # every channel's first segment repeats the settings, so channels can be restored one by one
     rows = rows.withColumns({"first_of_image": F.col("first"), "with_settings": F.col("first"), "with_size": last & (F.col("size") != s.segment_size)})
-    headers = protocol.header_bits(codeword=s.codeword, weights=s.weights)
-    data = B.pad_to_word(F.col("bits"), s.codeword)
-    room = (F.lit(s.byte_limit * 8) - F.length(headers)).cast("int")
-    data = F.when(F.length(data) > room, F.substring(data, F.lit(1), room)).otherwise(F.rpad(data, room, "0") if s.use_fill else data)
-    # a last segment that is the first too has its own size in its settings
-    out = rows.select("image_id", "z", "segment_id", "size", protocol.enveloped(headers, data).alias("content"))
+    rows = rows.withColumn("headers", protocol.header_bits(codeword=s.codeword, weights=s.weights))
+    rows = rows.withColumn("data", B.pad_to_word(F.col("bits"), s.codeword)).withColumn("room", (F.lit(s.byte_limit * 8) - F.length("headers")).cast("int"))
+    cut_off = F.when(F.length("data") > F.col("room"), F.substring("data", F.lit(1), F.col("room"))).otherwise(F.rpad("data", F.col("room"), "0") if s.use_fill else F.col("data"))
+    out = rows.withColumn("data", cut_off).select("image_id", "z", "segment_id", "size", protocol.enveloped(F.col("headers"), F.col("data")).alias("content"))
     return out.withColumn("n_bytes", F.length("content").cast("bigint"))
 
 

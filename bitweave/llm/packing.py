@@ -172,7 +172,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             row, piece, start, length, crc, rank = [], [], [], [], [], []
-            for i, ids in enumerate(tokens.encoded(batch.column(1).to_pylist(), spec.value, end_id)):
+            for i, ids in enumerate(tokens.encoded(batch.column(1), spec.value, end_id)):
                 n = len(ids) // 4
                 at, k = 0, 0
                 while at < n:

@@ -140,7 +140,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
             for batch in batches:
                 rows["key"].append(batch.column(0).to_numpy())
                 held = []
-                for ids in tokens.encoded(batch.column(1).to_pylist(), spec.value, end_id):
+                for ids in tokens.encoded(batch.column(1), spec.value, end_id):
                     rows["n"].append(len(ids) // 4)
                     held.append(ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes())
                     if len(held) == 1000:

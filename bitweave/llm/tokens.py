@@ -1,13 +1,15 @@
 """Tokenizing whole texts with the tokenizers library, each distinct piece once.
 
 Byte-level BPE splits a text before every single space between two characters
-that aren't white space, and at a single line end between such characters, so
-the ids of a text are the ids of its pieces in order. A worker keeps the ids
-of the pieces it has met; the library encodes the new ones of a batch in one
-call: pieces of letters as they are after the byte step, where only a piece's
-first token holds the space it begins with, and others as texts with a special
-token between them. A text with other white space, or with a mark used here,
-goes to the library whole. Tokenizers of another kind always do.
+that aren't white space, and around a single line end between such characters,
+so the ids of a text are the ids of its pieces in order: words with what stands
+before them, a space, a line end or the text's start. Pieces are found and
+numbered for many texts at once on their bytes, by 64-bit codes; a worker keeps
+the ids of the codes it has met, and the library encodes the new ones of a
+chunk in one call: pieces of letters as they are after the byte step, where
+only a piece's first token holds the space it begins with, and others as texts
+with a special token between them. A text with other white space goes to the
+library whole. Tokenizers of another kind always do.
 """
 
 from __future__ import annotations
@@ -18,12 +20,15 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+
+from bitweave.llm import textcodes as tc
 
 #: Pieces that a worker keeps at most; then it starts again.
-KEEP = 600_000
+KEEP, RECENT = 1_500_000, 100_000
 _HEAD = "\x01"
 #: Pieces of letters and a run of marks, which are two words of their own to the tokenizer.
-_PLAIN = re.compile(r"\x01?([^\W\d_]+)([.,;:!?)]*)")
+_PLAIN = re.compile(r"^(\x01?)([^\W\d_]+)([.,;:!?)]*)$", re.M)
 
 
 def vocabulary(path: str) -> str:
@@ -42,6 +47,7 @@ class Encoder:
         self.whole = Tokenizer.from_str(spec)
         self.whole.encode_special_tokens = True
         self.keep, self.memo = keep, {}
+        self._forget()
         kind = json.loads(spec)
         split, added = kind.get("pre_tokenizer") or {}, kind.get("added_tokens") or []
         self.pieces = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not kind.get("normalizer") and bool(added)
@@ -72,23 +78,22 @@ class Encoder:
 
     def _learn(self, new: set[str]) -> None:
         """Encode new pieces, many in one call."""
-        plain, heads, other, texts = [], [], [], []
-        inner, first = [], []
-        for piece in new:
-            m = _PLAIN.fullmatch(piece)
-            if m and m[1].isalpha() and max(m[1]) < "\u0250":
-                text = f"{m[1]}\n{m[2]}" if m[2] else m[1]
-                if piece[0] == _HEAD:
-                    heads.append(piece)
-                    first.append(text)
-                else:
-                    plain.append(piece)
-                    inner.append(text)
-                continue
+        if "\n" in new:
+            new.discard("\n")
+            self.memo["\n"] = self._ids("\n")
+        found = _PLAIN.findall("\n".join(new))
+        letters = "".join([w for _, w, _ in found])
+        if letters and not (letters.isalpha() and max(letters) < "\u0250"):
+            found = [f for f in found if f[1].isalpha() and max(f[1]) < "\u0250"]
+        split = lambda rows: [f"{w}\n{m}" if m else w for _, w, m in rows]
+        own = [f for f in found if not f[0]]
+        at_head = [f for f in found if f[0]]
+        plain, heads = [w + m for _, w, m in own], [h + w + m for h, w, m in at_head]
+        inner, first = split(own), split(at_head)
+        other, texts = [], []
+        for piece in new.difference(plain, heads):
             bare = piece[1:] if piece[:1] == _HEAD else piece
-            if piece == "\n":
-                self.memo[piece] = self._ids("\n")
-            elif bare and not bare[0].isspace() and not bare[-1].isspace() and self.mark not in bare and _HEAD not in bare:
+            if bare and not bare[0].isspace() and not bare[-1].isspace() and self.mark not in bare and _HEAD not in bare:
                 other.append(piece)
                 texts.append(bare if piece[:1] == _HEAD else f" {bare}")
         if plain:
@@ -101,25 +106,104 @@ class Encoder:
             ids = np.array(self.joined.encode_batch_fast([self.mark + self.mark.join(texts)], add_special_tokens=False)[0].ids, dtype="<u4")
             self._keep(other, ids, np.flatnonzero(ids == self.mark_id), 1)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; null is the empty text."""
+    def _forget(self) -> None:
+        none = np.zeros(0, dtype=np.int64)
+        # known codes in order, where their ids begin in the pool and how many they are: all, and the latest
+        self.known = [(none.view(np.uint64), none, none)] * 2
+        self.pool, self.used = np.zeros(1 << 16, dtype="<u4"), 0
+
+    def _add(self, codes: np.ndarray, ids: list[bytes]) -> None:
+        new, lens = np.frombuffer(b"".join(ids), "<u4"), np.array([len(i) // 4 for i in ids], dtype=np.int64)
+        while self.used + len(new) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(new)] = new
+        begin = self.used + np.cumsum(lens) - lens
+        self.used += len(new)
+
+        def merged(a, b):
+            keys, begin, lens = (np.concatenate(x) for x in zip(a, b, strict=True))
+            order = np.argsort(keys, kind="stable")
+            return keys[order], begin[order], lens[order]
+
+        self.known[1] = merged(self.known[1], (codes, begin, lens))
+        if len(self.known[1][0]) > RECENT:
+            self.known = [merged(*self.known), tuple(x[:0] for x in self.known[1])]
+
+    def _find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, number of ids) of known codes; -1 ids of unknown ones."""
+        begin, lens = np.zeros(len(codes), np.int64), np.full(len(codes), -1, np.int64)
+        for keys, at, n in self.known:
+            if len(keys):
+                k = np.searchsorted(keys, codes)
+                k[k == len(keys)] = 0
+                hit = keys[k] == codes
+                begin[hit], lens[hit] = at[k[hit]], n[k[hit]]
+        return begin, lens
+
+    def chunk(self, raw: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """The ids of each text of a chunk, given as UTF-8 bytes and offsets."""
+        whole = lambda k: self._ids(raw[at[k] : at[k + 1]].tobytes().decode())
+        n = len(at) - 1
         if not self.pieces:
-            return [self._ids(t or "") for t in texts]
-        parts = [(_HEAD + t).replace("\n", f" \n {_HEAD}").split(" ") if t and _HEAD not in t else None for t in texts]
-        if len(self.memo) > self.keep:
+            return [whole(k) for k in range(n)]
+        if len(self.known[0][0]) > self.keep:
+            self._forget()
+        odd = _odd_texts(raw, at)
+        starts, stops, first = tc.word_spans(raw, at, tc.NONSPACE)
+        before = raw[np.maximum(starts - 1, 0)]
+        kind = np.where(before == 10, 2, 0)
+        kind[np.searchsorted(starts, at[:-1][np.diff(first) > 0])] = 1
+        codes = tc.mix(tc.word_codes(raw, starts, stops) + kind.astype(np.uint64))
+        keep = ~odd[tc.owners(first)]
+        starts, stops, kind, codes = starts[keep], stops[keep], kind[keep], codes[keep]
+        unique, where, inverse = np.unique(codes, return_index=True, return_inverse=True)
+        begin, lens = self._find(unique)
+        new = np.flatnonzero(lens < 0)
+        if len(new):
+            w = where[new]
+            pieces = [(_HEAD if k else "") + raw[a:b].tobytes().decode() for a, b, k in zip(starts[w].tolist(), stops[w].tolist(), kind[w].tolist(), strict=True)]
             self.memo.clear()
-        self._learn(set().union(*filter(None, parts)).difference(self.memo))
-        get, out = self.memo.__getitem__, []
-        for text, part in zip(texts, parts, strict=True):
-            if not text:
-                out.append(b"")
-                continue
-            try:
-                out.append(self._ids(text) if part is None else b"".join(map(get, part)))
-            except KeyError:
-                out.append(self._ids(text))
+            self._learn(set(pieces))
+            line = self.memo.get("\n") or self._ids("\n")
+            found = [self.memo.get(p) or self._ids(p[1:] if p[0] == _HEAD else f" {p}") for p in pieces]
+            self._add(unique[new], [line + f if k == 2 else f for f, k in zip(found, kind[w].tolist(), strict=True)])
+            begin, lens = self._find(unique)
+        size = lens[inverse]
+        ids = self.pool[np.repeat(begin[inverse] - (np.cumsum(size) - size), size) + np.arange(size.sum())].tobytes()
+        pieces_of = np.where(odd, 0, np.diff(first))
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(pieces_of)] * 4
+        out, a = [], 0
+        for k, b in enumerate(ends.tolist()):
+            out.append(whole(k) if odd[k] else ids[a:b])
+            a = b
         return out
 
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; null is the empty text."""
+        return self.chunk(*tc.utf8(pa.array(texts, pa.large_string())))
+
+
+def _odd_texts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Texts with white space that is not a single space or line end between other characters, or with the mark used here."""
+    odd = np.zeros(len(at) - 1, dtype=bool)
+    if not len(raw):
+        return odd
+    space = ~tc.NONSPACE[raw]
+    bad = space & (raw != 32) & (raw != 10) | (raw == 1)
+    bad[1:] |= space[1:] & space[:-1]
+    edges = np.concatenate([at[:-1], at[1:] - 1])[np.tile(np.diff(at) > 0, 2)]
+    bad[edges] |= space[edges]
+    # white space beyond ASCII: U+0085, U+00A0, U+1680, U+2000-200A, U+2028, U+2029, U+202F, U+205F, U+3000
+    lead = np.flatnonzero((raw == 0xC2) | (raw == 0xE1) | (raw == 0xE2) | (raw == 0xE3))
+    if len(lead):
+        a = raw[lead]
+        b, c = raw[np.minimum(lead + 1, len(raw) - 1)], raw[np.minimum(lead + 2, len(raw) - 1)]
+        wide = (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+        wide |= (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (a == 0xE2) & (b == 0x81) & (c == 0x9F)
+        bad[lead[wide]] = True
+    odd[np.searchsorted(at, np.flatnonzero(bad), side="right") - 1] = True
+    return odd
+
 
 def _byte_letters() -> dict[int, str]:
     """The letter that byte-level tokenizers write for each byte: itself if it can be seen, else one from 256 on."""
@@ -140,16 +224,10 @@ def encoder(spec: str) -> Encoder:
     return _made[key]
 
 
-def encoded(texts: list[str | None], spec: str, end_id: int | None, size: int = 1 << 20):
-    """Yield the ids of each text with the end id, encoding about size characters at a time."""
+def encoded(texts: pa.Array, spec: str, end_id: int | None, size: int = 1 << 20):
+    """Yield the ids of each text of a string array with the end id, about size bytes at a time; null is empty."""
     end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
-    codec, run, held = encoder(spec), [], 0
-    for text in texts:
-        run.append(text)
-        held += len(text or "")
-        if held >= size:
-            for ids in codec.encode(run):
-                yield ids + end
-            run, held = [], 0
-    for ids in codec.encode(run):
-        yield ids + end
+    codec = encoder(spec)
+    for _, _, raw, at in tc.chunks(texts, size):
+        for ids in codec.chunk(raw, at):
+            yield ids + end

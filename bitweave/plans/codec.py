@@ -12,6 +12,7 @@ from bitweave.functions import bits as B
 from bitweave.functions import tables as T
 from bitweave.operators import decode, entropy, protocol, segments, settings, tiles
 from bitweave.sources import raster
+from bitweave.sources.scratch import stored
 
 LEAST_SIDE, MOST_WIDTH, LEAST_SEGMENT, MOST_SEGMENT = 17, 1 << 20, 16, 1 << 20
 
@@ -70,9 +71,12 @@ def check_images(meta: DataFrame) -> DataFrame:
 
 
 def segmented(pixels: DataFrame, size: int, weights: Sequence[int] = T.WEIGHTS, meta: DataFrame | None = None) -> DataFrame:
-    """Pixels to segments of blocks: padding, wavelet and gathering in one shuffle."""
+    """Pixels to segments of blocks: padding, wavelet and gathering in one shuffle.
+
+    The blocks are stored, because statistics, differences and words all start from them.
+    """
     meta = raster.meta(pixels) if meta is None else meta
-    return segments.cut(tiles.to_blocks(raster.padded(pixels), meta, weights), size)
+    return segments.cut(stored(tiles.to_blocks(raster.padded(pixels), meta, weights), "blocks"), size)
 
 
 def compress(pixels: DataFrame, options: Settings = Settings()) -> DataFrame:  # noqa: B008

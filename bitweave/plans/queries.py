@@ -39,6 +39,11 @@ def _cut(spark, sf_dir):
     return segments.cut(_blocks(spark, sf_dir), SIZE)
 
 
+def _cut_once(spark, sf_dir):
+    """For queries that read the segments more than once."""
+    return codec.segmented(image(spark, sf_dir), SIZE)
+
+
 def _coeffs(spark, sf_dir, weights):
     pixels = image(spark, sf_dir)
     widths = raster.meta(pixels).select("image_id", F.expr("padded_width div 8").alias("w"))
@@ -126,7 +131,7 @@ def block_depth(spark, sf_dir):
 
 
 def _differences(spark, sf_dir):
-    return segments.differences(_cut(spark, sf_dir))
+    return segments.differences(_cut_once(spark, sf_dir))
 
 
 def quant_dc(spark, sf_dir):
@@ -168,7 +173,7 @@ def acdepth_bits(spark, sf_dir):
 
 
 def _words(spark, sf_dir):
-    cut = _cut(spark, sf_dir)
+    cut = _cut_once(spark, sf_dir)
     return words.words(cut, segments.statistics(cut))
 
 
@@ -221,12 +226,12 @@ def vlc_length(spark, sf_dir):
 
 
 def segment_bits(spark, sf_dir):
-    return entropy.segment_bits(_cut(spark, sf_dir)).select("segment_id", F.length("bits").cast("bigint").alias("n_bits"), F.md5("bits").alias("digest"))
+    return entropy.segment_bits(_cut_once(spark, sf_dir)).select("segment_id", F.length("bits").cast("bigint").alias("n_bits"), F.md5("bits").alias("digest"))
 
 
 def early_stop(spark, sf_dir):
     """Bits of streams that stop in plane 4 after the parents."""
-    return entropy.segment_bits(_cut(spark, sf_dir), stop_plane=4, stop_stage=1).select("segment_id", F.length("bits").cast("bigint").alias("n_bits"), F.md5("bits").alias("digest"))
+    return entropy.segment_bits(_cut_once(spark, sf_dir), stop_plane=4, stop_stage=1).select("segment_id", F.length("bits").cast("bigint").alias("n_bits"), F.md5("bits").alias("digest"))
 
 
 def _files(spark, sf_dir):

@@ -73,5 +73,12 @@ def crc_mod(col: str, n: int):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send whole texts to Python in batches of so many rows at most; the default of 10,000 takes much memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
+
+
 def tasks_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

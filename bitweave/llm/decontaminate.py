@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bitweave.llm import textcodes as tc
+from bitweave.llm.common import bounded_batches
 
 WINDOW = 8
 
@@ -96,7 +97,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int, most:
         yield Windows(run, size)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = 8_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = 8_000_000, carry: bool = False) -> DataFrame:
     """Which words of which documents lie in windows of benchmark items.
 
     Returns one row for each row of docs: the id column, n_words, n_hit (words
@@ -105,7 +106,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     is one window; an item without words, or with null text, has none. Null or
     empty documents have no words. Repeated rows are each reported. Only the
     named columns are read, so others may have any name. Empty tables give no
-    rows, or rows without hits.
+    rows, or rows without hits. With carry, a column `row` holds each whole row
+    of docs, so that decisions on it need no join.
 
     The benchmark is taken in blocks of bounded size; each block is broadcast,
     and a task goes through the blocks for each of its batches. Documents are
@@ -113,7 +115,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
-    docs = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
+    bounded_batches(spark)
+    own = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
+    docs = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"), *own)
     blocks = []
     for block in _blocks(benchmark, item_col, item_text_col, window, block_chars):
         if len(block.words):
@@ -140,9 +144,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
                         items[i + t] += (index.items[x] for x in index.of[w])
                 inside = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
                 hit[i:j] = np.diff(inside[first])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array(hit), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))], names=[id_col, "n_words", "n_hit", "item_ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array(hit), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), *batch.columns[2:]], names=[id_col, "n_words", "n_hit", "item_ids", *batch.schema.names[2:]])
 
-    schema = T.StructType([docs.schema[0], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType()))])
+    schema = T.StructType([docs.schema[0], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), *docs.schema[2:]])
     return docs.mapInArrow(run, schema)
 
 

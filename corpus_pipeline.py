@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from bitweave.llm.common import stored, table
 from bitweave.llm.decontaminate import WINDOW, decontaminate
-from bitweave.llm.jaccard import jaccard_classes
+from bitweave.llm.jaccard import BROADCAST_ROWS, jaccard_classes
 from bitweave.llm.langid import UNKNOWN, identify
 from bitweave.llm.packing import pack
 from bitweave.llm.queries import language_model, tokenizer_path
@@ -40,11 +40,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words or with a null id are in no class and stay. Of rows
     that repeat an id and a text one stays.
     """
-    classes = jaccard_classes(docs.select("doc_id", "text"))
-    kept = classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    kept = stored(kept.withColumnRenamed("doc_id", "__id"), "kept")
-    out = docs.join(kept, docs["doc_id"] == kept["__id"], "left").where(F.col("__id").isNotNull() | docs["doc_id"].isNull()).select(docs.columns)
-    if not kept.where("__rows > 1").isEmpty():
+    classes = jaccard_classes(docs.select("doc_id", "text")).where("doc_id is not null")
+    ids = classes.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("class_id")).alias("__stays"), F.count("*").alias("__rows"))
+    ids = stored(ids.withColumnRenamed("doc_id", "__id"), "ids")
+    gone = ids.where("not __stays").select("__id")
+    if gone.count() <= BROADCAST_ROWS:  # else the documents are dealt by id
+        gone = F.broadcast(gone)
+    out = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    if not ids.where("__stays and __rows > 1").isEmpty():
         named, bare = out.where("doc_id is not null"), out.where("doc_id is null")
         out = named.dropDuplicates(["doc_id", "text"]).unionByName(bare)
     return out
@@ -52,9 +55,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a whole window of benchmark words."""
-    found = decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    bad = found.where(F.col("n_hit") >= WINDOW).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]), "left_anti").select(docs.columns)
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=True)
+    return found.where(F.col("n_hit") < WINDOW).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

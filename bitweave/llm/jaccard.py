@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitweave.llm import textcodes as tc
-from bitweave.llm.common import stored, tasks_of
+from bitweave.llm.common import bounded_batches, stored, tasks_of
 from bitweave.llm.components import components
 
 N, SIMILARITY, RECALL = 5, 0.8, 0.9999
@@ -158,6 +158,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     tasks = tasks_of(spark)
+    bounded_batches(spark)
     bands, rows = bands_for(similarity, recall)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()

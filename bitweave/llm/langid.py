@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bitweave.llm.common import bounded_batches
+
 #: Hashed features, and the lengths of n-grams.
 BITS, ORDERS = 15, (1, 2, 3)
 #: Documents of each label that the classifier is fitted on at most, and labels at most.
@@ -106,6 +108,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     table is dealt; of more than MOST_LABELS labels the most frequent count.
     """
     spark = labelled.sparkSession
+    bounded_batches(spark)
     docs = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     docs = docs.withColumn("h", F.xxhash64("id", "text"))
 
@@ -156,6 +159,7 @@ def identify(docs: DataFrame, model: dict, *, text_col: str = "text", lang_out:
     text if the model has no labels. Only the text is looked at. Equal scores
     go to the first label in alphabetical order. Nothing is shuffled.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast({"labels": model["labels"], "idf": model["idf"], "weights": model["weights"] / model["temperature"]})
     kept = [c for c in docs.columns if c not in (lang_out, score_out)]
     at = kept.index(text_col)

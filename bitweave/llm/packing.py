@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitweave.llm import tokens
-from bitweave.llm.common import stored
+from bitweave.llm.common import bounded_batches, stored
 
 CAPACITY = 1024
 
@@ -164,6 +164,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     spec = spark.sparkContext.broadcast(tokens.vocabulary(tokenizer))
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -29,7 +29,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from bitweave.llm import tokens
 from bitweave.llm.common import open_fs, put_file, scratch, stored, tasks_of

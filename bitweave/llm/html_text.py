@@ -10,7 +10,11 @@ blocks the covered tokens go and the unique runs stay. Articles are left out of
 the streams, because a passage that several articles quote is not boilerplate.
 
 A host's pages are dealt to groups of a bounded number of tokens by hash, so no
-task holds a large host; what a host's pages have in common shows in any group.
+task holds a large host. A suffix array shows what the pages of a group share.
+What pages of different groups share is found by windows: a token is covered
+just if a window of LEAST tokens that holds it stands on two pages, so the
+windows of all groups of a host meet, and each group learns which of its own
+stand on another page anywhere.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitweave.llm import textcodes as tc
@@ -174,6 +178,20 @@ def shared_tokens(pages: list[np.ndarray], least: int = LEAST) -> list[np.ndarra
     return [covered[a : a + k] for a, k in zip(begin, lens, strict=False)]
 
 
+def window_codes(tokens: np.ndarray, host_code: int, least: int) -> np.ndarray:
+    """A code for each run of `least` tokens of a page, different for each host."""
+    return tc.mix(tc.ngram_codes(tokens, least) ^ np.uint64(host_code % (1 << 64)))
+
+
+def covered_by(known: np.ndarray, codes: np.ndarray, n: int, least: int) -> np.ndarray:
+    """Which of a page's n tokens lie in a window whose code is known."""
+    cover = np.zeros(n + 1, dtype=np.int64)
+    found = np.flatnonzero(np.isin(codes, known))
+    cover[found] += 1
+    cover[found + least] -= 1
+    return np.cumsum(cover[:-1]) > 0
+
+
 def _codes(text: str) -> np.ndarray:
     raw, at = tc.utf8(pa.array([text], pa.string()))
     return tc.words(raw, at, tc.NONSPACE)[4]
@@ -203,27 +221,51 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     keyed = pages.withColumn("page", F.xxhash64("id", "url", "html"))
     rows = stored(keyed.select("id", "url", "html", "page").mapInArrow(streams, "page long, host string, tokens binary, n long, open boolean"), "streams")
     sizes = rows.groupBy("host").agg(F.ceil(F.sum("n") / group).alias("groups"), F.max("open").alias("any")).where("any")
-    dealt = rows.dropDuplicates(["page"]).join(sizes, "host").withColumn("g", F.pmod(F.xxhash64("page"), F.greatest("groups", F.lit(1))))
+    dealt = rows.dropDuplicates(["page"]).join(sizes, "host").withColumn("g", F.pmod(F.xxhash64("page"), F.greatest("groups", F.lit(1)))).withColumn("code", F.xxhash64("host"))
+
+    def windows(batches):
+        for batch in batches:
+            hosts, groups, streams, pages = (batch.column(k) for k in range(4))
+            found = [np.unique(window_codes(np.frombuffer(t, np.uint64), c, least)) for t, c in zip(streams.to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(w) for w in found]), pa.int64())
+            codes = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([hosts.take(at), groups.take(at), pages.take(at), pa.array(codes)], names=["host", "g", "page", "w"])
+
+    # Windows are counted once for each group, so one that stands on all pages of a host has a row for each group of it.
+    large = dealt.where("groups > 1").select("host", "g", "tokens", "page", "code")
+    held = large.mapInArrow(windows, "host string, g long, page long, w long").groupBy("w", "host", "g").agg(F.min("page").alias("low"), F.max("page").alias("high"))
+    same = Window.partitionBy("w")
+    met = held.select("host", "g", "w", F.min("low").over(same).alias("low"), F.max("high").over(same).alias("high")).where("low < high")
 
     def settle(batches):
-        run, name = [], None
+        run, known, name = [], [], None
 
         def flush():
-            covered = shared_tokens([np.frombuffer(t, np.uint64) for _, t, _ in run], least) if run else []
-            hit = [(p, np.packbits(c).tobytes()) for (p, _, o), c in zip(run, covered, strict=True) if o and c.any()]
+            streams = [np.frombuffer(t, np.uint64) for _, t, _, _ in run]
+            covered = shared_tokens(streams, least) if run else []
+            if known:
+                among = np.array(known, dtype=np.int64).view(np.uint64)
+                covered = [c | covered_by(among, window_codes(t, code, least), len(t), least) if o else c for c, t, (_, _, o, code) in zip(covered, streams, run, strict=True)]
+            hit = [(p, np.packbits(c).tobytes()) for (p, _, o, _), c in zip(run, covered, strict=True) if o and c.any()]
             if hit:
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in hit], pa.int64()), pa.array([c for _, c in hit], pa.binary())], names=["page", "covered"])
 
         for batch in batches:
-            for h, g, p, t, o in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for h, g, p, t, o, c in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (h, g) != name:
                     yield from flush()
-                    run, name = [], (h, g)
-                run.append((p, t, o))
+                    run, known, name = [], [], (h, g)
+                if t is None:
+                    known.append(p)
+                else:
+                    run.append((p, t, o, c))
         yield from flush()
 
     tasks = tasks_of(spark)
-    covered = stored(dealt.select("host", "g", "page", "tokens", "open").repartition(tasks, "host", "g").sortWithinPartitions("host", "g", "page").mapInArrow(settle, "page long, covered binary"), "covered")
+    members = dealt.select("host", "g", "page", "tokens", "open", "code")
+    if not sizes.where("groups > 1").isEmpty():  # a window's code stands in a row without tokens
+        members = members.unionByName(met.select("host", "g", F.col("w").alias("page")), allowMissingColumns=True)
+    covered = stored(members.repartition(tasks, "host", "g").sortWithinPartitions("host", "g", "page").mapInArrow(settle, "page long, covered binary"), "covered")
     if covered.isEmpty():  # no page waits for an answer, so the pages need not be moved
         joined = keyed.withColumn("covered", F.lit(None).cast("binary"))
     else:

@@ -355,6 +355,36 @@ def test_html(spark):
     assert all(text[k] == f"own{k} text{k} of page{k}" for k in range(12))
 
 
+def brute_text(pages, least=html_text.LEAST):
+    """Main text of (page id, host, open text) with distinct texts: words go that lie in a run of `least` which another text of the host has."""
+    where = defaultdict(set)
+    for _, h, t in pages:
+        w = t.split()
+        for k in range(len(w) - least + 1):
+            where[h, tuple(w[k : k + least])].add(t)
+    out = {}
+    for i, h, t in pages:
+        w = t.split()
+        gone = {k + j for k in range(len(w) - least + 1) if len(where[h, tuple(w[k : k + least])]) > 1 for j in range(least)}
+        out[i] = " ".join(x for k, x in enumerate(w) if k not in gone)
+    return out
+
+
+@pytest.mark.parametrize("group", [40, 300, html_text.GROUP])
+def test_html_shares_across_groups(spark, group):
+    """A block on two pages of a host goes however the host is split, and another host's pages don't matter."""
+    rng = random.Random(21)
+    runs = [" ".join(f"r{k}x{j}" for j in range(rng.randrange(6, 14))) for k in range(12)]
+    pages = []
+    for k in range(60):
+        parts = [f"own{k}", *rng.sample(runs, 2), f"mid{k} more{k}", *([" ".join(f"b{k // 2}x{j}" for j in range(9))] if k < 20 else [])]
+        rng.shuffle(parts)
+        pages.append((k, f"h{k % 2 if k >= 20 else 2}.org", " ".join(parts)))
+    rows = [(i, f"http://{h}/{i}", f"<body><p>{t}</p></body>") for i, h, t in pages]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), group=group).collect()}
+    assert got == brute_text(pages)
+
+
 @pytest.mark.parametrize("block", [60, 10_000])
 def test_decontamination(spark, texts, block):
     rng = random.Random(12)

@@ -15,10 +15,14 @@ What pages of different groups share is found by windows: a token is covered
 just if a window of LEAST tokens that holds it stands on two pages, so the
 windows of all groups of a host meet, and each group learns which of its own
 stand on another page anywhere.
+
+Pages of a host with the same open text are copies and count as one page,
+whatever their ids, addresses and dropped parts: what only copies share stays.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from urllib.parse import urlsplit
@@ -153,13 +157,17 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
-def shared_tokens(pages: list[np.ndarray], least: int = LEAST) -> list[np.ndarray]:
-    """For each page's tokens, which lie in a substring of `least` tokens or more that another page has."""
+def shared_tokens(pages: list[np.ndarray], least: int = LEAST, contents: list[int] | None = None) -> list[np.ndarray]:
+    """For each page's tokens, which lie in a substring of `least` tokens or more that another page has.
+
+    Pages with equal contents, if given, count as one page.
+    """
+    kinds = np.arange(len(pages)) if contents is None else np.unique(np.array(contents, dtype=np.int64), return_inverse=True)[1]
     lens = np.array([len(p) for p in pages], dtype=np.int64)
     begin = np.concatenate([[0], np.cumsum(lens + 1)])
     _, ids = np.unique(np.concatenate(pages), return_inverse=True) if lens.sum() else (None, np.zeros(0, np.int64))
     n = int(begin[-1])
-    stream, owner = np.zeros(n, dtype=np.int64), np.repeat(np.arange(len(pages)), lens + 1)
+    stream, owner = np.zeros(n, dtype=np.int64), np.repeat(kinds, lens + 1)
     ends = begin[1:] - 1
     inside = np.ones(n, dtype=bool)
     inside[ends] = False
@@ -192,6 +200,12 @@ def covered_by(known: np.ndarray, codes: np.ndarray, n: int, least: int) -> np.n
     return np.cumsum(cover[:-1]) > 0
 
 
+def _content(open_codes: np.ndarray, codes: np.ndarray) -> int:
+    """Equal for pages of equal open text; a page without any goes by all its tokens."""
+    kind, held = (b"o", open_codes) if len(open_codes) else (b"d", codes)
+    return int.from_bytes(hashlib.blake2b(held.tobytes(), digest_size=8, person=kind).digest(), "little", signed=True)
+
+
 def _codes(text: str) -> np.ndarray:
     raw, at = tc.utf8(pa.array([text], pa.string()))
     return tc.words(raw, at, tc.NONSPACE)[4]
@@ -215,25 +229,26 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
             for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found = blocks(page)
                 codes = _codes(" ".join(t for s, t in found if s != KEEP))
-                rows.append((host(url), codes.tobytes(), len(codes), any(s == OPEN for s, _ in found)))
-            yield pa.RecordBatch.from_arrays([batch.column(3), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary(), pa.int64(), pa.bool_()), strict=True))] if rows else [pa.array([], t) for t in (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.bool_())], names=["page", "host", "tokens", "n", "open"])
+                own = _codes(" ".join(t for s, t in found if s == OPEN))
+                rows.append((host(url), codes.tobytes(), len(codes), len(own) > 0, _content(own, codes)))
+            yield pa.RecordBatch.from_arrays([batch.column(3), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary(), pa.int64(), pa.bool_(), pa.int64()), strict=True))] if rows else [pa.array([], t) for t in (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.bool_(), pa.int64())], names=["page", "host", "tokens", "n", "open", "content"])
 
     keyed = pages.withColumn("page", F.xxhash64("id", "url", "html"))
-    rows = stored(keyed.select("id", "url", "html", "page").mapInArrow(streams, "page long, host string, tokens binary, n long, open boolean"), "streams")
+    rows = stored(keyed.select("id", "url", "html", "page").mapInArrow(streams, "page long, host string, tokens binary, n long, open boolean, content long").withColumn("stream", F.xxhash64("host", "tokens", "content")), "streams")
     sizes = rows.groupBy("host").agg(F.ceil(F.sum("n") / group).alias("groups"), F.max("open").alias("any")).where("any")
-    dealt = rows.dropDuplicates(["page"]).join(sizes, "host").withColumn("g", F.pmod(F.xxhash64("page"), F.greatest("groups", F.lit(1)))).withColumn("code", F.xxhash64("host"))
+    dealt = rows.dropDuplicates(["stream"]).join(sizes, "host").withColumn("g", F.pmod(F.xxhash64("stream"), F.greatest("groups", F.lit(1)))).withColumn("code", F.xxhash64("host"))
 
     def windows(batches):
         for batch in batches:
-            hosts, groups, streams, pages = (batch.column(k) for k in range(4))
+            hosts, groups, streams, contents = (batch.column(k) for k in range(4))
             found = [np.unique(window_codes(np.frombuffer(t, np.uint64), c, least)) for t, c in zip(streams.to_pylist(), batch.column(4).to_pylist(), strict=True)]
             at = pa.array(np.repeat(np.arange(len(found)), [len(w) for w in found]), pa.int64())
             codes = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([hosts.take(at), groups.take(at), pages.take(at), pa.array(codes)], names=["host", "g", "page", "w"])
+            yield pa.RecordBatch.from_arrays([hosts.take(at), groups.take(at), contents.take(at), pa.array(codes)], names=["host", "g", "content", "w"])
 
     # Windows are counted once for each group, so one that stands on all pages of a host has a row for each group of it.
-    large = dealt.where("groups > 1").select("host", "g", "tokens", "page", "code")
-    held = large.mapInArrow(windows, "host string, g long, page long, w long").groupBy("w", "host", "g").agg(F.min("page").alias("low"), F.max("page").alias("high"))
+    large = dealt.where("groups > 1").select("host", "g", "tokens", "content", "code")
+    held = large.mapInArrow(windows, "host string, g long, content long, w long").groupBy("w", "host", "g").agg(F.min("content").alias("low"), F.max("content").alias("high"))
     same = Window.partitionBy("w")
     met = held.select("host", "g", "w", F.min("low").over(same).alias("low"), F.max("high").over(same).alias("high")).where("low < high")
 
@@ -241,35 +256,36 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
         run, known, name = [], [], None
 
         def flush():
-            streams = [np.frombuffer(t, np.uint64) for _, t, _, _ in run]
-            covered = shared_tokens(streams, least) if run else []
+            streams = [np.frombuffer(t, np.uint64) for _, t, _, _, _ in run]
+            covered = shared_tokens(streams, least, [k for _, _, _, _, k in run]) if run else []
             if known:
                 among = np.array(known, dtype=np.int64).view(np.uint64)
-                covered = [c | covered_by(among, window_codes(t, code, least), len(t), least) if o else c for c, t, (_, _, o, code) in zip(covered, streams, run, strict=True)]
-            hit = [(p, np.packbits(c).tobytes()) for (p, _, o, _), c in zip(run, covered, strict=True) if o and c.any()]
+                covered = [c | covered_by(among, window_codes(t, code, least), len(t), least) if o else c for c, t, (_, _, o, code, _) in zip(covered, streams, run, strict=True)]
+            hit = [(s, np.packbits(c).tobytes()) for (s, _, o, _, _), c in zip(run, covered, strict=True) if o and c.any()]
             if hit:
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in hit], pa.int64()), pa.array([c for _, c in hit], pa.binary())], names=["page", "covered"])
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in hit], pa.int64()), pa.array([c for _, c in hit], pa.binary())], names=["stream", "covered"])
 
         for batch in batches:
-            for h, g, p, t, o, c in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for h, g, s, t, o, c, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (h, g) != name:
                     yield from flush()
                     run, known, name = [], [], (h, g)
                 if t is None:
-                    known.append(p)
+                    known.append(s)
                 else:
-                    run.append((p, t, o, c))
+                    run.append((s, t, o, c, k))
         yield from flush()
 
     tasks = tasks_of(spark)
-    members = dealt.select("host", "g", "page", "tokens", "open", "code")
+    members = dealt.select("host", "g", "stream", "tokens", "open", "code", "content")
     if not sizes.where("groups > 1").isEmpty():  # a window's code stands in a row without tokens
-        members = members.unionByName(met.select("host", "g", F.col("w").alias("page")), allowMissingColumns=True)
-    covered = stored(members.repartition(tasks, "host", "g").sortWithinPartitions("host", "g", "page").mapInArrow(settle, "page long, covered binary"), "covered")
+        members = members.unionByName(met.select("host", "g", F.col("w").alias("stream")), allowMissingColumns=True)
+    covered = stored(members.repartition(tasks, "host", "g").sortWithinPartitions("host", "g", "stream").mapInArrow(settle, "stream long, covered binary"), "covered")
     if covered.isEmpty():  # no page waits for an answer, so the pages need not be moved
         joined = keyed.withColumn("covered", F.lit(None).cast("binary"))
     else:
-        joined = keyed.join(covered, "page", "left")
+        answers = rows.select("page", "stream").dropDuplicates(["page"]).join(covered, "stream").select("page", "covered")
+        joined = keyed.join(answers, "page", "left")
 
     def texts(batches):
         for batch in batches:

@@ -385,6 +385,18 @@ def test_html_shares_across_groups(spark, group):
     assert got == brute_text(pages)
 
 
+@pytest.mark.parametrize("group", [40, html_text.GROUP])
+def test_html_copies_keep_their_text(spark, group):
+    """Copies under other ids and addresses, also with other adverts, are one page; what other pages share goes still."""
+    menu = " ".join(f"menu{j}" for j in range(10))
+    pages = [(k, "h.org" if k < 24 else "g.org", " ".join(f"c{k % 8}x{j}" for j in range(15)) + (" " + menu if k % 8 < 3 else "")) for k in range(32)]
+    pages += [(40 + k, "one.org", " ".join(f"only{j}" for j in range(20))) for k in range(6)]
+    ad = lambda i: f"<div class='ad'>buy{i} " + " ".join(f"a{i % 2}x{j}" for j in range(9)) + "</div>"
+    rows = [(i, f"http://{h}/{i}", f"<body><p>{t}</p>{ad(i) if i % 3 == 0 else ''}</body>") for i, h, t in pages]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), group=group).collect()}
+    assert got == brute_text(pages) and all(got[40 + k] == pages[-1][2] for k in range(6)) and got[3].endswith("c3x14") and got[0].endswith("c0x14")
+
+
 @pytest.mark.parametrize("block", [60, 10_000])
 def test_decontamination(spark, texts, block):
     rng = random.Random(12)

@@ -45,6 +45,17 @@ def lower_ascii(text: str) -> str:
 _FOLD = {c: c + 32 for c in range(65, 91)}
 
 
+def apart(pattern, low: str, begin: int, end: int, least: int):
+    """All matches in low[begin:end] apart from each other: the best one, then those left and right of it."""
+    parts = [(begin, end)]
+    while parts:
+        a, b = parts.pop()
+        m = pattern.search(low, a, b) if b - a >= least else None
+        if m:
+            yield m
+            parts += [(a, m.start()), (m.end(), b)]
+
+
 class Notices:
     """Compiled notices with the pieces that locate them."""
 
@@ -72,7 +83,7 @@ class Notices:
                 p = low.find(seed, p + 1)
         found = []
         for n, places in windows.items():
-            notice, label, _, pattern = self.all[n]
+            notice, label, k, pattern = self.all[n]
             places.sort()
             merged = [list(places[0])]
             for a, b in places[1:]:
@@ -81,7 +92,7 @@ class Notices:
                 else:
                     merged.append([a, b])
             for a, b in merged:
-                for m in pattern.finditer(low, a, b):
+                for m in apart(pattern, low, a, b, len(notice) - k):
                     edits = sum(m.fuzzy_counts)
                     found.append((label, m.start(), m.end(), edits, 1 - edits / len(notice)))
         found.sort(key=lambda s: (s[0], s[3], s[1], s[2]))

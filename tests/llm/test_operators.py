@@ -139,6 +139,17 @@ def test_license_scan(spark, texts):
     assert found[20].labels == []
 
 
+def test_notices_back_to_back():
+    """A worse match beside a better one is reported as well, whichever comes first."""
+    good, worse, worst = "released under the mit license", "releasd under the mit license", "releasd undr the mit license"
+    notices = license_scan.Notices(license_scan.NOTICES)
+    for parts in ([worse, good], [good, worse], [worst, worse, good], [worse, good, worst], [worst, worst]):
+        text = ". ".join(parts)
+        begin = [sum(len(p) + 2 for p in parts[:k]) for k in range(len(parts))]
+        want = [("mit", a, a + len(p), len(good) - len(p)) for a, p in zip(begin, parts, strict=True)]
+        assert [s[:4] for s in notices.spans(text)] == want
+
+
 def test_language_id(spark):
     rng = random.Random(4)
     sounds = {"aa": "abcde", "oo": "mnopq", "uu": "stuvw"}

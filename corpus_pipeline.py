@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitweave.llm.common import stored, table
-from bitweave.llm.decontaminate import WINDOW, decontaminate
+from bitweave.llm.decontaminate import decontaminate
 from bitweave.llm.jaccard import BROADCAST_ROWS, jaccard_classes
 from bitweave.llm.langid import UNKNOWN, identify
 from bitweave.llm.packing import pack
@@ -54,9 +54,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a whole window of benchmark words."""
+    """Drop documents that hold a whole window of a benchmark item; an item shorter than a window is one window."""
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=True)
-    return found.where(F.col("n_hit") < WINDOW).select("row.*")
+    return found.where(F.size("item_ids") == 0).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

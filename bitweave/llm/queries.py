@@ -25,7 +25,7 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bitweave.llm.tokenfile import token_files
 
-    return token_files(table(spark, sf_dir, "documents"), tokenizer_path())
+    return token_files(table(spark, sf_dir, "documents"), tokenizer_path(), null_keys=True)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

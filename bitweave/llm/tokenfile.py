@@ -107,11 +107,12 @@ def _bucket(col: str, n: int):
     return F.pmod(F.xxhash64(F.col(col)), F.lit(n)).cast("int")
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, path: str | None = None, shards: int | None = None) -> dict:
+def write_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, path: str | None = None, shards: int | None = None, null_keys: bool = False) -> dict:
     """Encode whole texts into shards in ascending key order and index them.
 
     docs: a key (integer) and a text; null text is empty, so it holds the end
-    id alone. Rows with a null key can't be looked up and are left out. Rows of
+    id alone. Rows with a null key can't be looked up; they are left out, or with
+    null_keys stand before all others in the files and the catalog. Rows of
     one key are kept, next to each other in any order, and the index leads to
     the first of them. Extra columns are not read. An empty table gives no shards.
 
@@ -124,8 +125,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     path = path or scratch(spark, "tokens")
     shards = shards or tasks_of(spark)
     spec = spark.sparkContext.broadcast(tokens.vocabulary(tokenizer))
-    docs = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text")).where("key is not null")
-    dealt = docs.repartitionByRange(shards, "key").sortWithinPartitions("key")
+    docs = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
+    if null_keys:  # many rows without a key are spread by their texts
+        dealt = docs.repartitionByRange(shards, F.col("key").asc_nulls_first(), F.when(F.col("key").isNull(), F.xxhash64("text")))
+    else:
+        dealt = docs.where("key is not null").repartitionByRange(shards, "key")
+    dealt = dealt.sortWithinPartitions("key")
 
     def run(batches):
         from tokenizers import Tokenizer
@@ -137,7 +142,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
         def payload():
             yield SHARD + bytes([width])
             for batch in batches:
-                rows["key"].append(batch.column(0).to_numpy())
+                rows["key"].append(batch.column(0))
                 held = []
                 for ids in tokens.encoded(batch.column(1), spec.value, end_id):
                     rows["n"].append(len(ids) // 4)
@@ -152,11 +157,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
             return
         batches = _chain(first_batch, batches)
         put_file(f"{path}/shard-{shard:08d}.bin", payload())
-        key, n = np.concatenate(rows["key"]), np.array(rows["n"], dtype=np.int64)
+        key, n = pa.concat_arrays(rows["key"]), np.array(rows["n"], dtype=np.int64)
         first = np.cumsum(n) - n
         for i in range(0, len(key), 50_000):
             part = slice(i, i + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), shard)), pa.array(key[part]), pa.array(first[part]), pa.array(n[part])], names=["shard", "key", "first", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), shard)), key[part], pa.array(first[part]), pa.array(n[part])], names=["shard", "key", "first", "n"])
 
     catalog = stored(dealt.mapInArrow(run, "shard long, key long, first long, n long"), "catalog")
     buckets = shards
@@ -179,7 +184,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
             put_file(f"{path}/index-{int(b):08d}.bin", [head, displacement.tobytes(), slots.tobytes()])
             yield pa.RecordBatch.from_arrays([pa.array([int(b)]), pa.array([len(own)])], names=["bucket", "n"])
 
-    keyed = catalog.withColumn("bucket", _bucket("key", buckets)).repartition(buckets, "bucket")
+    keyed = catalog.where("key is not null").withColumn("bucket", _bucket("key", buckets)).repartition(buckets, "bucket")
     made = keyed.mapInArrow(index, "bucket long, n long").agg(F.sum("n")).collect()[0][0] or 0
     return {"path": path, "buckets": buckets, "catalog": catalog, "keys": made}
 
@@ -238,7 +243,8 @@ def read_tokens(located: DataFrame, store: dict, *, payload: bool = False) -> Da
     def run(batches):
         name, f = None, None
         for batch in batches:
-            key, shard, first, n = (batch.column(c).to_numpy() for c in range(4))
+            key = batch.column(0)
+            shard, first, n = (batch.column(c).to_numpy() for c in range(1, 4))
             crc, ids = np.zeros(len(key), np.int64), []
             for i in range(len(key)):
                 if shard[i] != name:
@@ -255,7 +261,7 @@ def read_tokens(located: DataFrame, store: dict, *, payload: bool = False) -> Da
                 crc[i] = zlib.crc32(got.astype("<u4").tobytes())
                 if payload:
                     ids.append(got.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, shard, first, n, crc)] + ([pa.array(ids, pa.list_(pa.int64()))] if payload else []), names=["key", "shard", "first", "n", "ids_crc32"] + ["ids"] * payload)
+            yield pa.RecordBatch.from_arrays([key, *(pa.array(x) for x in (shard, first, n, crc))] + ([pa.array(ids, pa.list_(pa.int64()))] if payload else []), names=["key", "shard", "first", "n", "ids_crc32"] + ["ids"] * payload)
 
     spark = located.sparkSession
     return located.select("key", "shard", "first", "n").repartition(tasks_of(spark), "shard").sortWithinPartitions("shard", "first").mapInArrow(run, schema)
@@ -267,7 +273,7 @@ def token_files(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     Returns doc_id, start (ids of all documents before it), n_tokens,
     ids_crc32, shard and first; see write_tokens for the handling of nulls,
     repeats and empty tables. Rows that repeat a key are read through the
-    catalog, next to the one that the index leads to.
+    catalog, next to the one that the index leads to, and so are rows without one.
     """
     spark = docs.sparkSession
     store = write_tokens(docs, tokenizer, **options)
@@ -275,9 +281,9 @@ def token_files(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     found = locate(spark, docs.select(id_col).distinct(), store, key_col=id_col)
     whole = store["catalog"].groupBy("key").agg(F.count("*").alias("rows"))
     again = store["catalog"].join(whole.where("rows > 1"), "key").select("key", "shard", "first", "n")
-    places = found.unionByName(again).distinct()
+    places = found.unionByName(again).distinct().unionByName(store["catalog"].where("key is null").select("key", "shard", "first", "n"))
     # one row for each shard
-    totals = store["catalog"].groupBy("shard").agg(F.min("key").alias("lowest"), F.sum("n").alias("ids")).orderBy("lowest", "shard").collect()
+    totals = store["catalog"].groupBy("shard").agg(F.min("key").alias("lowest"), F.sum("n").alias("ids")).orderBy(F.col("lowest").asc_nulls_first(), "shard").collect()
     rows, at = [], 0
     for t in totals:
         rows.append((t["shard"], at))

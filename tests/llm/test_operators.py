@@ -328,6 +328,22 @@ def test_token_files(spark, texts, tokenizer):
     assert not any(left.values()) and [i for _, i, _, _ in found] == sorted(i for i, _ in rows if i is not None)
 
 
+@pytest.mark.parametrize("nulls", [1, 40])
+def test_token_files_without_keys(spark, texts, tokenizer, tmp_path, nulls):
+    """op8 returns a row for each document; those without a key come first, in one shard or several."""
+    from bitweave.llm.queries import QUERIES
+
+    rows = [*texts, (8, "again"), *((None, f"lost {k}" if k % 3 else None) for k in range(nulls))]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in QUERIES["op8_token_files"](spark, str(tmp_path)).collect())
+    at = 0
+    for start, _, n, _ in found:
+        assert start == at
+        at += n
+    assert [i for _, i, _, _ in found] == [None] * nulls + sorted(i for i, _ in rows if i is not None)
+    assert Counter((i, c) for _, i, _, c in found) == Counter((i, crc(tokenizer(t))) for i, t in rows)
+
+
 def test_index_tells_unknown_keys(spark, texts, tokenizer):
     store = tokenfile.write_tokens(documents(spark, texts), tokenizer_path(), shards=3)
     asked = spark.range(-500, 1500).withColumnRenamed("id", "doc_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -18,11 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors can read and write.
 
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset, as
-    in tests on one machine, a local folder is made and set.
+    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset and
+    the executors are threads of this machine, as in tests, a local folder is
+    made and set; elsewhere an unset folder is an error.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all nodes share")
         root = "file://" + tempfile.mkdtemp(prefix="bitweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     if "://" not in root and not root.startswith("file:"):
@@ -68,16 +72,56 @@ def put_file(uri: str, chunks) -> int:
     return size
 
 
+class FileWriter:
+    """As put_file, for callers that write piece by piece while they do something else; close() moves the file into place."""
+
+    def __init__(self, uri: str) -> None:
+        self.files, self.path = open_fs(uri)
+        self.files.create_dir(os.path.dirname(self.path), recursive=True)
+        self.temporary = f"{self.path}.{uuid.uuid4().hex}.tmp"
+        self.out = self.files.open_output_stream(self.temporary)
+
+    def write(self, chunk: bytes) -> None:
+        self.out.write(chunk)
+
+    def close(self) -> None:
+        self.out.close()
+        self.files.move(self.temporary, self.path)
+
+
+def read_file(uri: str) -> bytes:
+    files, path = open_fs(uri)
+    with files.open_input_file(path) as f:
+        return f.read()
+
+
 def crc_mod(col: str, n: int):
     """crc32 of a column's text, modulo n; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send whole texts to Python in batches of so many rows at most; the default of 10,000 takes much memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, rows)
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Send whole texts to Python in batches of so many rows and bytes at most; 10,000 texts take much memory.
+
+    Spark reads these settings when a plan runs, so they are lowered for the
+    session. They change no result.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        held = _bytes(spark.conf.get(key, str(most)))
+        if held <= 0 or held > most:
+            spark.conf.set(key, str(most))
+
+
+def _bytes(text: str) -> int:
+    """A number of Spark's settings, with its unit."""
+    m = re.fullmatch(r"(-?\d+)([kmgt]?)b?", text.strip().lower())
+    return int(m[1]) << 10 * " kmgt".index(m[2] or " ") if m else 0
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """What Spark's statistics say that df holds, in bytes, without reading it; 0 if they say nothing of use."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
 
 
 def tasks_of(spark: SparkSession) -> int:

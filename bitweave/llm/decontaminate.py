@@ -6,10 +6,16 @@ has to occur whole, its necessary prefix is its rarest word alone: a document
 that holds the window holds that word. Documents are joined with the windows on
 this word; the word's place in the window then bounds where the window would
 start and end, and only windows inside the text are compared, word by word.
+
+The benchmark is cut into blocks of bounded size. The driver reads it as a
+stream and writes block after block to the shared folder; tasks read the blocks
+from there and keep a bounded number of them, so nobody holds the whole.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bitweave.llm import textcodes as tc
-from bitweave.llm.common import bounded_batches
+from bitweave.llm.common import bounded_batches, put_file, read_file, scratch, stored
 
 WINDOW = 8
+#: Characters of a block about, blocks that a task keeps, and bytes of text for which it goes through the blocks if there are more.
+BLOCK_CHARS, KEEP, GATHER = 1_000_000, 4, 16 << 20
 
 
 def _item_words(text: str | None) -> list[bytes]:
@@ -33,7 +41,7 @@ def _item_words(text: str | None) -> list[bytes]:
 class Windows:
     """The windows of a block of items, and after rank() their index by rarest word."""
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int) -> None:
+    def __init__(self, items: list[tuple[str | None, str | None]], size: int) -> None:
         self.size, self.items, found = size, [], {}
         for item, text in items:
             words = _item_words(text)
@@ -97,80 +105,131 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int, most:
         yield Windows(run, size)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = 8_000_000, carry: bool = False) -> DataFrame:
+class Blocks:
+    """Reads numbered objects from the shared folder and keeps the latest few."""
+
+    def __init__(self, folder: str, name: str, n: int) -> None:
+        self.folder, self.name, self.n = folder, name, n
+        self.held: OrderedDict[int, object] = OrderedDict()
+
+    def __iter__(self) -> Iterator:
+        """All in turn, those that are held first."""
+        for k in [*self.held, *(k for k in range(self.n) if k not in self.held)]:
+            if k not in self.held:
+                while len(self.held) >= KEEP:
+                    self.held.popitem(last=False)
+                self.held[k] = pickle.loads(read_file(f"{self.folder}/{self.name}-{k:06d}"))
+            yield k, self.held[k]
+
+
+class _Chunk:
+    """The words of consecutive texts of a batch."""
+
+    def __init__(self, i: int, raw: np.ndarray, at: np.ndarray) -> None:
+        self.i = i
+        self.low, self.starts, self.stops, self.first, self.codes = tc.words(raw, at)
+
+
+def _gathered(batches, column: int, most: int) -> Iterator[list[tuple[pa.RecordBatch, list[_Chunk]]]]:
+    """Runs of batches with their chunks, of about `most` bytes of text."""
+    out, held = [], 0
+    for batch in batches:
+        chunks = [_Chunk(i, raw, at) for i, _, raw, at in tc.chunks(batch.column(column))]
+        out.append((batch, chunks))
+        held += sum(len(c.low) for c in chunks)
+        if held >= most:
+            yield out
+            out, held = [], 0
+    if out:
+        yield out
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS, carry: bool = False) -> DataFrame:
     """Which words of which documents lie in windows of benchmark items.
 
     Returns one row for each row of docs: the id column, n_words, n_hit (words
     inside any occurrence of a window) and item_ids (the items, as strings in
     ascending order, of which a window occurs). An item shorter than a window
-    is one window; an item without words, or with null text, has none. Null or
+    is one window; an item without words, or with null text, has none. The
+    windows of items without an id are hit as well, but name no item. Null or
     empty documents have no words. Repeated rows are each reported. Only the
     named columns are read, so others may have any name. Empty tables give no
     rows, or rows without hits. With carry, a column `row` holds each whole row
     of docs, so that decisions on it need no join.
 
-    The benchmark is taken in blocks of bounded size; each block is broadcast,
-    and a task goes through the blocks for each of its batches. Documents are
-    read twice and never shuffled.
+    Documents are read twice, whatever the number of blocks, and never shuffled.
     """
     spark = docs.sparkSession
-    sc = spark.sparkContext
     bounded_batches(spark)
     own = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
     docs = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"), *own)
-    blocks = []
+    folder, n_blocks = scratch(spark, "windows"), 0
     for block in _blocks(benchmark, item_col, item_text_col, window, block_chars):
         if len(block.words):
-            blocks.append(_ranked(docs, block))
-    shared = [sc.broadcast(b) for b in blocks]
+            put_file(f"{folder}/vocabulary-{n_blocks:06d}", [pickle.dumps(block.vocab)])
+            put_file(f"{folder}/plain-{n_blocks:06d}", [pickle.dumps(block)])
+            n_blocks += 1
+    counts = _frequencies(docs, folder, n_blocks)
+    for k in range(n_blocks):
+        block = pickle.loads(read_file(f"{folder}/plain-{k:06d}"))
+        documents = np.zeros(len(block.vocab), dtype=np.int64)
+        for place, n in counts.where(F.col("block") == k).select("k", "n").collect():  # at most one row for each word of the block
+            documents[place] = n
+        put_file(f"{folder}/windows-{k:06d}", [pickle.dumps(block.rank(documents))])
 
     def run(batches):
-        for batch in batches:
-            n = batch.num_rows
-            words, hit, items = np.zeros(n, np.int64), np.zeros(n, np.int64), [[] for _ in range(n)]
-            for i, j, raw, at in tc.chunks(batch.column(1)):
-                low, starts, stops, first, codes = tc.words(raw, at)
-                words[i:j] = np.diff(first)
-                cover = np.zeros(len(codes) + 1, dtype=np.int64)
-                for b in shared:
-                    index = b.value
-                    if not len(codes):
-                        break
-                    begin, found = index.hits(low, starts, stops, first, codes)
-                    np.add.at(cover, begin, 1)
-                    np.add.at(cover, begin + index.lens[found], -1)
-                    text = np.searchsorted(first, begin, side="right") - 1
-                    for t, w in set(zip(text.tolist(), found.tolist(), strict=True)):
-                        items[i + t] += (index.items[x] for x in index.of[w])
-                inside = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
-                hit[i:j] = np.diff(inside[first])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array(hit), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), *batch.columns[2:]], names=[id_col, "n_words", "n_hit", "item_ids", *batch.schema.names[2:]])
+        blocks = Blocks(folder, "windows", n_blocks)
+        for gathered in _gathered(batches, 1, GATHER if n_blocks > KEEP else 0):
+            items = [[[] for _ in range(batch.num_rows)] for batch, _ in gathered]
+            cover = [[np.zeros(len(c.codes) + 1, dtype=np.int64) for c in chunks] for _, chunks in gathered]
+            for _, index in blocks:
+                for (_, chunks), covers, found_items in zip(gathered, cover, items, strict=True):
+                    for c, covered in zip(chunks, covers, strict=True):
+                        if not len(c.codes):
+                            continue
+                        begin, found = index.hits(c.low, c.starts, c.stops, c.first, c.codes)
+                        np.add.at(covered, begin, 1)
+                        np.add.at(covered, begin + index.lens[found], -1)
+                        text = np.searchsorted(c.first, begin, side="right") - 1
+                        for t, w in set(zip(text.tolist(), found.tolist(), strict=True)):
+                            found_items[c.i + t] += (index.items[x] for x in index.of[w])
+            for (batch, chunks), covers, found_items in zip(gathered, cover, items, strict=True):
+                words, hit = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+                for c, covered in zip(chunks, covers, strict=True):
+                    inside = np.concatenate([[0], np.cumsum(np.cumsum(covered[:-1]) > 0)])
+                    n = len(c.first) - 1
+                    words[c.i : c.i + n], hit[c.i : c.i + n] = np.diff(c.first), np.diff(inside[c.first])
+                named = [sorted({x for x in found if x is not None}) for found in found_items]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array(hit), pa.array(named, pa.list_(pa.string())), *batch.columns[2:]], names=[id_col, "n_words", "n_hit", "item_ids", *batch.schema.names[2:]])
 
     schema = T.StructType([docs.schema[0], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), *docs.schema[2:]])
     return docs.mapInArrow(run, schema)
 
 
-def _ranked(docs: DataFrame, block: Windows) -> Windows:
-    """Order the block's words by the number of documents that hold them, over all documents."""
-    vocab = docs.sparkSession.sparkContext.broadcast(block.vocab)
+def _frequencies(docs: DataFrame, folder: str, n_blocks: int) -> DataFrame:
+    """For each block (block) and word of its vocabulary (k), the number of documents that hold it (n), over all documents."""
 
     def run(batches):
-        known = vocab.value
-        n = np.zeros(len(known), dtype=np.int64)
-        for batch in batches:
-            for _, _, raw, at in tc.chunks(batch.column(0)):
-                _, _, _, first, codes = tc.words(raw, at)
-                k = np.searchsorted(known, codes)
-                k[k == len(known)] = 0
-                found = known[k] == codes
-                pair = np.unique(tc.owners(first)[found] * len(known) + k[found])
-                n += np.bincount(pair % len(known), minlength=len(known))
-        k = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n[k])], names=["k", "n"])
-
-    counts = docs.select("__text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    documents = np.zeros(len(block.vocab), dtype=np.int64)
-    for k, n in counts:  # at most one row for each word of the block
-        documents[k] = n
-    vocab.unpersist()
-    return block.rank(documents)
+        blocks, totals = Blocks(folder, "vocabulary", n_blocks), {}
+
+        def rows():
+            for b, n in totals.items():
+                k = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), b)), pa.array(k), pa.array(n[k])], names=["block", "k", "n"])
+            totals.clear()
+
+        for gathered in _gathered(batches, 0, GATHER if n_blocks > KEEP else 0):
+            for b, known in blocks:
+                n = totals.setdefault(b, np.zeros(len(known), dtype=np.int64))
+                for c in (c for _, chunks in gathered for c in chunks):
+                    k = np.searchsorted(known, c.codes)
+                    k[k == len(known)] = 0
+                    found = known[k] == c.codes
+                    pair = np.unique(tc.owners(c.first)[found] * len(known) + k[found])
+                    n += np.bincount(pair % len(known), minlength=len(known))
+                if len(totals) >= KEEP and n_blocks > KEEP:
+                    yield from rows()
+        yield from rows()
+
+    counts = docs.select("__text").mapInArrow(run, "block long, k long, n long").groupBy("block", "k").agg(F.sum("n").alias("n"))
+    return stored(counts, "frequencies") if n_blocks else counts

@@ -33,91 +33,129 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitweave.llm import textcodes as tc
-from bitweave.llm.common import stored, tasks_of
+from bitweave.llm.common import bounded_batches, stored, tasks_of
 
 #: Tokens that a shared substring has at least, and tokens in a group of pages.
 LEAST, GROUP = 8, 200_000
 
 #: Elements whose content is no text.
-SILENT = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "head", "select", "object", "math", "title"}
-#: Elements, and words of classes and ids, of what is not the article.
+SILENT = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "select", "object", "math", "title"}
+#: Elements of what is not the article, and classes, ids and roles of it; a class is compared as a whole.
 ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button"}
-ASIDE_WORDS = {"ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "footer", "header", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "related", "reply", "share", "sharing", "sidebar", "social", "sponsored", "subscribe", "widget"}
+ASIDE_NAMES = {
+    "ad", "ad-banner", "ad-container", "ad-slot", "ads", "advert", "advertisement", "advertising", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "comment-list", "comments", "comments-area", "complementary", "consent",
+    "contentinfo", "cookie", "cookie-banner", "cookie-bar", "cookie-consent", "cookie-notice", "cookies", "dialog", "disqus_thread", "footer", "gdpr", "header", "main-menu", "main-nav", "menu", "modal", "nav", "navbar", "navigation", "newsletter",
+    "newsletter-signup", "notice", "page-footer", "page-header", "pagination", "popup", "promo", "related", "related-articles", "related-posts", "replies", "reply", "search", "search-form", "share", "share-buttons", "sharing", "side-bar", "sidebar",
+    "sidebar-left", "sidebar-right", "site-footer", "site-header", "site-nav", "skip-link", "social", "social-links", "social-share", "sponsor", "sponsored", "subscribe", "toolbar", "top-bar", "topbar", "widget", "widget-area",
+}
 MAIN = {"article", "main"}
 #: Elements that begin and end a block.
 BLOCKS = ASIDE | MAIN | {"address", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "legend", "li", "ol", "optgroup", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-#: Block elements that hold others; the rest end by themselves.
+#: Elements without content.
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+#: Elements that are the page or its article, whatever their classes.
+PAGE = MAIN | {"html", "head", "body"}
+#: Block elements that hold others; the rest end by themselves, at the latest with the next block.
 HOLDERS = ASIDE | MAIN | {"body", "blockquote", "details", "div", "dl", "fieldset", "figure", "html", "ol", "section", "table", "ul"}
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORD = re.compile(r"[a-z]+")
 
 DROP, OPEN, KEEP = 0, 1, 2
 
 
 def _is_aside(name: str, attributes: str, inside: bool) -> bool:
+    if name in PAGE:
+        return False
     if name in ASIDE and not (inside and name == "header"):
         return True
     if not attributes:
         return False
-    return any(ASIDE_WORDS.intersection(_WORD.findall((a or b or c).lower())) for a, b, c in _NAMED.findall(attributes))
+    return any(not ASIDE_NAMES.isdisjoint((a or b or c).lower().split()) for a, b, c in _NAMED.findall(attributes))
 
 
-def blocks(page: str) -> list[tuple[int, str]]:
-    """(state, text) of the page's blocks in order; white space is single, references are decoded."""
-    out: list[tuple[int, str]] = []
-    piece: list[str] = []
-    held: list[tuple[str, int]] = []  # open holders and the state inside
-    state, has_main, at, n = OPEN, False, 0, len(page)
-
-    def close() -> None:
-        if piece:
-            text = " ".join(entities.unescape("".join(piece)).split())
+class _Reader:
+    """Takes a page's tags and texts in order and makes blocks of them."""
+
+    def __init__(self) -> None:
+        self.out: list[tuple[int, str]] = []
+        self.piece: list[str] = []
+        self.held: list[tuple[str, int]] = []  # open holders and the state inside
+        self.state, self.has_main = OPEN, False
+        self.muted: list[str] = []  # open elements inside a block that are no part of the article, the outermost first
+
+    def text(self, raw: str) -> None:
+        if not self.muted:
+            self.piece.append(raw)
+
+    def close(self) -> None:
+        """End the block, and with it what was muted inside."""
+        self.muted.clear()
+        if self.piece:
+            text = " ".join(entities.unescape("".join(self.piece)).split())
             if text:
-                out.append((state, text))
-            piece.clear()
+                self.out.append((self.state, text))
+            self.piece.clear()
+
+    def begin(self, name: str, attributes: str) -> None:
+        aside = self.state != DROP and _is_aside(name, attributes, self.state == KEEP)
+        if name not in BLOCKS:
+            if name == "br":
+                self.text(" ")
+            elif name not in VOID and not attributes.endswith("/") and (name in self.muted or aside and not self.muted):
+                self.muted.append(name)
+            return
+        self.close()
+        if name in HOLDERS:
+            inner = self.state
+            if aside:
+                inner = DROP
+            elif name in MAIN and self.state != DROP:
+                inner, self.has_main = KEEP, True
+            if not attributes.endswith("/"):
+                self.held.append((name, inner))
+                self.state = inner
+        elif aside and name not in VOID:
+            self.muted.append(name)
+
+    def end(self, name: str) -> None:
+        if name not in BLOCKS:
+            if name in self.muted:
+                del self.muted[len(self.muted) - 1 - self.muted[::-1].index(name) :]
+            return
+        self.close()
+        k = next((i for i in range(len(self.held) - 1, -1, -1) if self.held[i][0] == name), None)
+        if k is not None:
+            del self.held[k:]
+            self.state = self.held[-1][1] if self.held else OPEN
 
+
+def blocks(page: str) -> list[tuple[int, str]]:
+    """(state, text) of the page's blocks in order; white space is single, references are decoded."""
+    reader, at, n = _Reader(), 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
         if not m:
-            piece.append(page[at:])
+            reader.text(page[at:])
             break
         if m.start() > at:
-            piece.append(page[at : m.start()])
+            reader.text(page[at : m.start()])
         at, name = m.end(), m.group(2)
         if not name:
             continue
         name = name.lower()
         if m.group(1):
-            if name in BLOCKS:
-                close()
-                k = next((i for i in range(len(held) - 1, -1, -1) if held[i][0] == name), None)
-                if k is not None:
-                    del held[k:]
-                    state = held[-1][1] if held else OPEN
-            continue
-        if name in SILENT:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
-            continue
-        if name == "br":
-            piece.append(" ")
-        if name in BLOCKS:
-            close()
-            if name in HOLDERS:
-                if state == DROP or _is_aside(name, m.group(3), state == KEEP):
-                    state = DROP
-                elif name in MAIN:
-                    state, has_main = KEEP, True
-                if not m.group(3).endswith("/"):
-                    held.append((name, state))
-                else:
-                    state = held[-1][1] if held else OPEN
-    close()
-    if has_main:  # what stands beside an article is not the article
-        out = [(DROP if s == OPEN else s, t) for s, t in out]
-    return out
+            reader.end(name)
+        elif name in SILENT:
+            if not m.group(3).endswith("/") or name in ("script", "style", "textarea", "title"):
+                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                at = end.end() if end else n
+        else:
+            reader.begin(name, m.group(3))
+    reader.close()
+    if reader.has_main:  # what stands beside an article is not the article
+        return [(DROP if s == OPEN else s, t) for s, t in reader.out]
+    return reader.out
 
 
 def host(url: str | None) -> str:
@@ -220,6 +258,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     own. Extra columns are not read. An empty table gives no rows.
     """
     spark = pages.sparkSession
+    bounded_batches(spark)
     pages = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     kind = pages.schema["id"].dataType.simpleString()
 

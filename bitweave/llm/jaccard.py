@@ -2,7 +2,9 @@
 
 Texts become sets of word n-grams; texts of equal words are one node, so copies
 are compared once. A node's MinHash signature is cut into bands; the number of
-bands and rows follows from the similarity and the recall asked for. Nodes that
+bands and of rows in a band follow from the similarity and the recall asked
+for: of all pairs of numbers that give that recall, the one that makes the
+fewest candidates of pairs below the similarity. Nodes that
 share a band hash are linked to the bucket's smallest node, which takes as many
 links as nodes however full a bucket is, and the components of these links hold
 all candidate pairs. Inside a component every pair is verified on the full
@@ -26,20 +28,37 @@ from bitweave.llm.common import bounded_batches, stored, tasks_of
 from bitweave.llm.components import components
 
 N, SIMILARITY, RECALL = 5, 0.8, 0.9999
+#: Hashes of a signature at most.
+MOST_HASHES = 300
 #: Nodes in a block, and matrix cells that a task makes at a time.
 BLOCK, CELLS = 256, 1 << 23
 #: Members up to which their ids are broadcast to fetch the texts; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
 
 
-def bands_for(similarity: float, recall: float, rows: int = 5) -> tuple[int, int]:
-    """(bands, rows): the fewest bands of so many rows that find a pair of that similarity with that probability."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))), rows
+def bands_for(similarity: float, recall: float, most: int = MOST_HASHES) -> tuple[int, int]:
+    """(bands, rows) that find a pair of that similarity with that probability.
+
+    More rows make fewer false candidates and need more bands; the hashes of
+    both together are at most `most`, but a band of one row is always allowed.
+    """
+    options = []
+    for rows in range(1, most + 1):
+        chance = similarity**rows
+        bands = 1 if chance >= recall else max(1, math.ceil(math.log(1 - recall) / math.log1p(-chance)))
+        if rows > 1 and bands * rows > most:
+            break
+        below = np.linspace(0, similarity, 200, endpoint=False)
+        options.append((float((1 - (1 - below**rows) ** bands).mean()), bands, rows))
+    return min(options)[1:]
 
 
 def _sets(raw: np.ndarray, at: np.ndarray, n: int):
-    """(n-gram codes of a chunk, text of each, fingerprints, words) ; a text of fewer words is one n-gram."""
-    _, starts, _, first, codes = tc.words(raw, at)
+    """(n-gram codes of a chunk, text of each, fingerprints, words) ; a text of fewer words is one n-gram.
+
+    The two fingerprints of a text come from independent codes of its words.
+    """
+    low, starts, stops, first, codes = tc.words(raw, at)
     text, count = tc.owners(first), np.diff(first)
     grams = tc.ngram_codes(codes, n)
     place = np.arange(len(grams))
@@ -47,8 +66,8 @@ def _sets(raw: np.ndarray, at: np.ndarray, n: int):
     place = np.arange(len(codes)) - first[text]
     prints = []
     full = count > 0
-    for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
-        mixed = tc.mix(codes + (place + 1).astype(np.uint64) * np.uint64(salt))
+    for salt, words in ((0x5851F42D4C957F2D, codes), (0x14057B7EF767814F, tc.word_codes(low, starts, stops, 1))):
+        mixed = tc.mix(words + (place + 1).astype(np.uint64) * np.uint64(salt))
         out = np.zeros(len(count), dtype=np.uint64)
         if full.any():
             out[full] = np.add.reduceat(mixed, first[:-1][full])

@@ -20,8 +20,8 @@ from bitweave.llm.common import bounded_batches
 
 #: Hashed features, and the lengths of n-grams.
 BITS, ORDERS = 15, (1, 2, 3)
-#: Documents of each label that the classifier is fitted on at most, and labels at most.
-PER_LABEL, MOST_LABELS = 300, 256
+#: Documents of each label that the classifier is fitted on at most, and labels that it may have.
+PER_LABEL, MOST_LABELS = 300, 2000
 UNKNOWN = "und"
 
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -99,13 +99,14 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = PER_LABEL) -> dict:
+def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = PER_LABEL, most_labels: int = MOST_LABELS) -> dict:
     """Fit on documents with a label; those without text or label are left out.
 
     Returns labels, weights (already times idf), idf and the temperature.
     Without any document there are no labels. The documents to fit on are those
     with the smallest hashes of each label, so they are the same however the
-    table is dealt; of more than MOST_LABELS labels the most frequent count.
+    table is dealt. All labels are learned; as the weights are held by one
+    machine, more than most_labels are an error, not a choice among them.
     """
     spark = labelled.sparkSession
     bounded_batches(spark)
@@ -129,8 +130,9 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     chosen = docs.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_label)
     limits = chosen.groupBy("lang").agg(F.max("h").alias("most"))
-    sizes = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS)
-    limits = limits.join(sizes, "lang").select("lang", "most").collect()  # at most MOST_LABELS rows
+    limits = limits.limit(most_labels + 1).collect()
+    if len(limits) > most_labels:
+        raise ValueError(f"more than {most_labels} labels")
     labels = sorted(r["lang"] for r in limits)
     if not labels:
         return {"labels": [], "idf": idf, "weights": np.zeros((1 << BITS, 0)), "temperature": 1.0}

@@ -8,6 +8,9 @@ matches the whole notice with bounded errors and reports the span.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,21 +18,50 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bitweave.llm import textcodes as tc
+from bitweave.llm.common import bounded_batches
 
 #: Phrases of whole words, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Short notices in lower case, and their labels.
 NOTICES = {
     "all rights reserved": "reserved",
+    "apache license, version 2.0": "apache",
+    "apache software license": "apache",
+    "attribution-noncommercial": "cc-by-nc",
+    "attribution-noderivs": "cc-by-nd",
+    "attribution-sharealike": "cc-by-sa",
+    "boost software license": "bsl",
+    "cc0 1.0 universal": "cc0",
+    "common development and distribution license": "cddl",
     "creative commons attribution": "cc-by",
+    "dedicated to the public domain": "public-domain",
+    "eclipse public license": "epl",
+    "european union public licence": "eupl",
+    "free documentation license": "gfdl",
+    "gnu affero general public license": "agpl",
     "gnu general public license": "gpl",
     "lesser general public license": "lgpl",
+    "licensed under a creative commons": "cc",
     "licensed under cc by-nc": "cc-by-nc",
+    "licensed under cc by-sa": "cc-by-sa",
     "licensed under the apache license": "apache",
+    "licensed under the bsd license": "bsd",
+    "licensed under the mit license": "mit",
+    "microsoft public license": "ms-pl",
     "mozilla public license": "mpl",
+    "open database license": "odbl",
     "permission is hereby granted, free of charge": "mit",
+    "permission to use, copy, modify, and/or distribute this software": "isc",
+    "python software foundation license": "psf",
     "redistribution and use in source and binary forms": "bsd",
+    "released into the public domain": "public-domain",
+    "released under the bsd license": "bsd",
     "released under the mit license": "mit",
+    "sil open font license": "ofl",
+    "spdx-license-identifier:": "spdx",
+    "the mit license (mit)": "mit",
+    "this is free and unencumbered software": "unlicense",
+    "used with permission": "permission",
 }
 #: A notice may have one error for so many characters, and so many at most.
 CHARS_PER_ERROR, MOST_ERRORS = 9, 3
@@ -45,17 +77,6 @@ def lower_ascii(text: str) -> str:
 _FOLD = {c: c + 32 for c in range(65, 91)}
 
 
-def apart(pattern, low: str, begin: int, end: int, least: int):
-    """All matches in low[begin:end] apart from each other: the best one, then those left and right of it."""
-    parts = [(begin, end)]
-    while parts:
-        a, b = parts.pop()
-        m = pattern.search(low, a, b) if b - a >= least else None
-        if m:
-            yield m
-            parts += [(a, m.start()), (m.end(), b)]
-
-
 class Notices:
     """Compiled notices with the pieces that locate them."""
 
@@ -72,35 +93,60 @@ class Notices:
                 self.seeds.setdefault(notice[a:b], []).append((len(self.all) - 1, a))
 
     def spans(self, low: str) -> list[tuple[str, int, int, int, float]]:
-        """(label, start, end, edits, score) of all notices, those of one label apart from each other."""
-        windows: dict[int, list[tuple[int, int]]] = {}
+        """(label, start, end, edits, score) of all notices; of spans that overlap, those with fewer edits."""
+        windows: set[tuple[int, int, int]] = set()
         for seed, uses in self.seeds.items():
             p = low.find(seed)
             while p >= 0:
                 for n, at in uses:
                     notice, _, k, _ = self.all[n]
-                    windows.setdefault(n, []).append((max(0, p - at - k), min(len(low), p - at + len(notice) + k)))
+                    windows.add((n, max(0, p - at - k), min(len(low), p - at + len(notice) + k)))
                 p = low.find(seed, p + 1)
-        found = []
-        for n, places in windows.items():
+        found = set()
+        for n, a, b in windows:  # a window is too short for two places of a notice
             notice, label, k, pattern = self.all[n]
-            places.sort()
-            merged = [list(places[0])]
-            for a, b in places[1:]:
-                if a <= merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
-                else:
-                    merged.append([a, b])
-            for a, b in merged:
-                for m in apart(pattern, low, a, b, len(notice) - k):
-                    edits = sum(m.fuzzy_counts)
-                    found.append((label, m.start(), m.end(), edits, 1 - edits / len(notice)))
-        found.sort(key=lambda s: (s[0], s[3], s[1], s[2]))
-        out: list = []
-        for s in found:
-            if not any(s[0] == o[0] and s[1] < o[2] and o[1] < s[2] for o in out):
-                out.append(s)
-        return sorted(out, key=lambda s: (s[1], s[2], s[0]))
+            if b - a >= len(notice) - k and (m := pattern.search(low, a, b)):
+                edits = sum(m.fuzzy_counts)
+                found.add((label, m.start(), m.end(), edits, 1 - edits / len(notice)))
+        return sorted(_plain(_clear(found)), key=lambda s: (s[1], s[2], s[0]))
+
+
+def _clear(found: Iterable[tuple]) -> list[tuple]:
+    """Spans of a label that don't overlap, those with fewer edits first, then the earlier ones.
+
+    The spans kept so far never overlap, so in the order of their starts only
+    a span's two neighbours can touch it.
+    """
+    out: list = []
+    kept: dict[str, list[tuple[int, int]]] = {}
+    for s in sorted(found, key=lambda s: (s[0], s[3], s[1], s[2])):
+        own = kept.setdefault(s[0], [])
+        k = bisect_left(own, (s[1], s[2]))
+        if (k == len(own) or own[k][0] >= s[2]) and (not k or own[k - 1][1] <= s[1]):
+            own.insert(k, (s[1], s[2]))
+            out.append(s)
+    return out
+
+
+def _plain(spans: list[tuple]) -> list[tuple]:
+    """Spans without those that another label's span with fewer edits has half of: one notice has one label.
+
+    Spans are short, so few stand before a span and reach into it.
+    """
+    spans = sorted(spans, key=lambda s: (s[1], s[2]))
+    most = max((s[2] - s[1] for s in spans), default=0)
+    begin, out = 0, []
+    for s in spans:
+        while spans[begin][1] + most <= s[1]:
+            begin += 1
+        worse, k = False, begin
+        while not worse and k < len(spans) and spans[k][1] < s[2]:
+            o = spans[k]
+            worse = o[3] < s[3] and 2 * (min(s[2], o[2]) - max(s[1], o[1])) >= s[2] - s[1]
+            k += 1
+        if not worse:
+            out.append(s)
+    return out
 
 
 def _places(phrases: list[tuple[list[bytes], np.ndarray]], low, starts, stops, first, codes):
@@ -127,6 +173,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phr
     repeated results and an empty table gives none. Other columns are not read.
     Nothing is shuffled.
     """
+    bounded_batches(docs.sparkSession)
     phrases = PHRASES if phrases is None else phrases
     notices = NOTICES if notices is None else notices
     base = [([w.encode() for w in p.split(" ")], np.array([tc.code_of(w) for w in p.split(" ")], dtype=np.uint64)) for p in phrases]

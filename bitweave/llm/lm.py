@@ -16,7 +16,8 @@ requester. Each requester sends its distinct n-grams, with its own training
 counts, to the n-grams' hash buckets. A bucket adds up and answers with the
 counts in the order of the request, so an answer holds no keys. A requester
 then reads its answers and looks its own tokens up. A very common n-gram is
-sent at most once by each requester.
+sent at most once by each requester. An n-gram is known by a 64-bit code: among
+V distinct ones about V**2 / 2**65 pairs share a code and their counts by chance.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitweave.llm import textcodes as tc
-from bitweave.llm.common import open_fs, scratch, tasks_of
+from bitweave.llm.common import bounded_batches, open_fs, scratch, tasks_of
 
 #: Tokens of a requester; texts are never split, so one very long text may exceed it.
 STRETCH = 2_000_000
@@ -227,6 +228,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
     documents all tokens are unknown. Empty tables give no rows.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     held_out = F.lit(False) if held_out is None else held_out
     tune = F.pmod(F.xxhash64(F.col(id_col)), F.lit(8)) == 0 if tune is None else tune
     folder = scratch(spark, "lm")
@@ -290,7 +292,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
 
     asked = read.mapInArrow(ask, "bucket int, part long, number int, n_order int, keys binary, every binary, held binary")
     answers = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "n_order").mapInArrow(answer, "part long, number int, n_order int, bucket int, every binary, held binary")
-    dealt = answers.repartition(buckets, F.coalesce("part", F.xxhash64("bucket"))).sortWithinPartitions("part")
+    # a stretch's answers go together; the totals, a row of each bucket, are spread by it
+    dealt = answers.repartition(buckets, F.coalesce("part", F.xxhash64("bucket")), "number").sortWithinPartitions("part")
     dealt.write.partitionBy("part").parquet(f"{folder}/counts")
     totals = np.zeros(6, dtype=np.int64)
     for r in spark.read.schema("number int, n_order int, bucket int, every binary, part string").parquet(f"{folder}/counts").where("n_order = -1").select("every").toLocalIterator():

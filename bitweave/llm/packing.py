@@ -5,7 +5,9 @@ so only a first piece is shorter. All else depends on piece lengths alone, and
 a histogram of lengths has at most as many rows as a sequence has tokens. The
 plan is made on that histogram: single, pair and triple length sums are looked
 up to fill a gap exactly, as often as their counts allow, and what is left is
-packed best-fit. A plan is a list of patterns (lengths) with multiplicities.
+packed best-fit. Exact fills that use up the lengths which the rest needs cost
+sequences in the end, so they stop where the whole plan is shortest. A plan is
+a list of patterns (lengths) with multiplicities.
 
 Pieces are then numbered within their length without gathering a length
 anywhere: a task numbers its own, and adds how many of that length the tasks
@@ -27,51 +29,49 @@ from bitweave.llm import tokens
 from bitweave.llm.common import bounded_batches, stored
 
 CAPACITY = 1024
+#: Numbers of exact fills, evenly spaced, at which the plan is weighed.
+STOPS = 48
 
 
 def _exact(count: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Consume combinations of two to four lengths that fill a sequence exactly.
+    """Combinations of two to four lengths that fill a sequence exactly, in the order in which they are consumed.
 
-    The longest length goes first. Its gap is looked up among the single
-    lengths, then the pair sums, then the triple sums, each with the longest
-    parts first. Every step uses up some length, so there are few steps.
+    First all gaps that a single length fills, then those for the pair sums,
+    then the triple sums. Lengths from half a sequence up go first, as they
+    leave the widest gaps, and a gap takes parts of like size before unlike
+    ones, so the short lengths are left for gaps that nothing fills exactly.
+    Every step uses up some length, so there are few steps. Lowers count.
     """
     out = []
 
-    def single(gap: int, own: dict[int, int]) -> tuple[int, ...] | None:
-        return (gap,) if gap > 0 and count[gap] > own.get(gap, 0) else None
-
     def pair(gap: int, own: dict[int, int], top: int) -> tuple[int, ...] | None:
-        b = np.arange(min(gap - 1, top), (gap + 1) // 2 - 1, -1)
-        if not len(b):
-            return None
-        have = (count[b] > 0) & (count[gap - b] > 0)
-        for x in b[have]:
-            x = int(x)
+        b = np.arange((gap + 1) // 2, min(gap - 1, top) + 1)
+        for x in b[(count[b] > 0) & (count[gap - b] > 0)].tolist():
             y = gap - x
             if count[x] > own.get(x, 0) + (x == y) and count[y] > own.get(y, 0):
                 return x, y
         return None
 
-    for a in range(capacity - 1, 0, -1):
-        while count[a] > 0:
-            own, gap = {a: 1}, capacity - a
-            rest = single(gap, own) if gap <= a else None
-            rest = rest or pair(gap, own, a)
-            if not rest:
-                for b in range(min(gap - 2, a), (gap + 2) // 3 - 1, -1):
-                    if count[b] > own.get(b, 0):
-                        held = own | {b: own.get(b, 0) + 1}
-                        if two := pair(gap - b, held, b):
-                            rest = (b, *two)
-                            break
-            if not rest:
-                break
-            pattern = (a, *rest)
-            times = min(int(count[x]) // pattern.count(x) for x in set(pattern))
-            for x in pattern:
-                count[x] -= times
-            out.append((pattern, times))
+    def fill(a: int, parts: int) -> tuple[int, ...] | None:
+        own, gap = {a: 1}, capacity - a
+        if parts == 1:
+            return (gap,) if gap <= a and count[gap] > own.get(gap, 0) else None
+        if parts == 2:
+            return pair(gap, own, a)
+        for b in range((gap + 2) // 3, min(gap - 2, a) + 1):
+            if count[b] > own.get(b, 0) and (two := pair(gap - b, own | {b: own.get(b, 0) + 1}, b)):
+                return b, *two
+        return None
+
+    half = capacity // 2
+    for parts in (1, 2, 3):
+        for a in (*range(half, capacity), *range(half - 1, 0, -1)):
+            while count[a] > 0 and (rest := fill(a, parts)):
+                pattern = (a, *rest)
+                times = min(int(count[x]) // pattern.count(x) for x in set(pattern))
+                for x in pattern:
+                    count[x] -= times
+                out.append((pattern, times))
     return out
 
 
@@ -117,11 +117,18 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
         count[length] = n
     out = [((capacity,), int(count[capacity]))] if count[capacity] else []
     count[capacity] = 0
-    plain = _best_fit(count.copy(), capacity)
-    exact = _exact(count, capacity)
-    exact += _best_fit(count, capacity)
-    # Best-fit alone often needs fewer sequences, as on the test tables; the histogram shows it beforehand.
-    return out + min(exact, plain, key=lambda rows: sum(t for _, t in rows))
+    fills = _exact(count.copy(), capacity)
+    stops = sorted({len(fills) * k // STOPS for k in range(STOPS + 1)})
+    plans, done = [], 0
+    for stop in stops:
+        for pattern, times in fills[done:stop]:
+            for x in pattern:
+                count[x] -= times
+        done = stop
+        rest = _best_fit(count.copy(), capacity)
+        plans.append((sum(t for _, t in fills[:stop]) + sum(t for _, t in rest), -stop, rest))
+    _, stop, rest = min(plans, key=lambda p: p[:2])  # of equal plans the one with the most exact fills
+    return out + fills[:-stop] + rest
 
 
 class Places:

@@ -5,8 +5,11 @@ object is made for a word. A chunk is a run of rows whose texts together have
 a bounded number of bytes (one longer text is a chunk of its own), which bounds
 memory whatever the batch size is.
 
-A word's code is a polynomial of its bytes modulo 2**64, taken from prefix
-sums, then mixed. Callers that need exact words compare bytes as well.
+A word's code is the sum, modulo 2**64, of a random value for each of its bytes
+at its place, taken from prefix sums and mixed. Unlike a polynomial modulo a
+power of two it has no pairs of words that collide by their pattern; among V
+words about V**2 / 2**65 pairs collide by chance. Callers that need exact words
+compare bytes as well (equal_words).
 """
 
 from __future__ import annotations
@@ -17,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INV = pow(_P, -1, 1 << 64)
+_P = 0x9E3779B97F4A7C15
+#: Places in a word whose values are kept in a table.
+_PLACES = 64
 #: A-Z to a-z on bytes; bytes of other characters stay.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -30,26 +34,6 @@ NONSPACE = np.ones(256, dtype=bool)
 NONSPACE[9:14] = NONSPACE[32] = False
 
 
-class _Powers:
-    """Powers of the base and its inverse, as many as a chunk has needed."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            def row(base: int) -> np.ndarray:
-                out = np.full(n, base, dtype=np.uint64)
-                out[0] = 1
-                return np.multiply.accumulate(out)
-
-            self.up, self.down = row(_P), row(_P_INV)
-        return self.up[:n], self.down
-
-
-_powers = _Powers()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit codes that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
@@ -102,12 +86,58 @@ def word_spans(low: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[np.nd
     return starts, stops, np.searchsorted(starts, at)
 
 
-def word_codes(low: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit code for each word."""
-    up, down = _powers.upto(len(low) + 1)
-    total = np.zeros(len(low) + 1, dtype=np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    return mix((total[stops] - total[starts]) * down[starts])
+def _values(key: np.ndarray, salt: int) -> np.ndarray:
+    """Random values of places and bytes, given as place * 256 + byte."""
+    return mix((key.astype(np.uint64) + np.uint64(1)) * np.uint64(_P) + np.uint64(salt * 0xD1342543DE82EF95 % (1 << 64)))
+
+
+_tables: dict[int, np.ndarray] = {}
+
+
+def word_codes(low: np.ndarray, starts: np.ndarray, stops: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit code for each word; another salt gives independent codes."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    if salt not in _tables:
+        _tables[salt] = _values(np.arange(_PLACES << 8), salt)
+    begin = int(starts[0])
+    place = np.arange(begin, len(low))
+    place -= np.repeat(starts, np.diff(starts, append=len(low)))
+    far = np.flatnonzero(place >= _PLACES)
+    key = place << 8 | low[begin:]
+    values = _tables[salt].take(key, mode="clip")
+    if len(far):
+        values[far] = _values(key[far], salt)
+    total = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values, out=total[1:])
+    return mix(total[stops - begin] - total[starts - begin])
+
+
+def _eights(raw: np.ndarray, padded: bool) -> np.ndarray:
+    """The eight bytes from each place on, as one number; beyond the end there are zeros, or what raw was padded with."""
+    raw = raw if padded else np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray(len(raw) - 7, dtype="<u8", buffer=raw, strides=(1,))
+
+
+def equal_words(a: np.ndarray, a_at: np.ndarray, a_n: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_n: np.ndarray, b_padded: bool = False) -> np.ndarray:
+    """For each pair of words, given by bytes, places and lengths, whether all bytes are equal.
+
+    b_padded: b has eight bytes or more behind its last word, so it isn't copied.
+    """
+    out = a_n == b_n
+    x = _eights(a, False)
+    y = x if b is a else _eights(b, b_padded)
+    left, done = np.flatnonzero(out), 0
+    while len(left) and done < _PLACES:
+        short = np.minimum(a_n[left] - done, 8)
+        drop = ((8 - short) * 8).astype(np.uint64)
+        same = (x[a_at[left] + done] ^ y[b_at[left] + done]) << drop == 0
+        out[left[~same]] = False
+        left = left[same & (short == 8) & (a_n[left] > done + 8)]
+        done += 8
+    for k in left.tolist():
+        out[k] = np.array_equal(a[a_at[k] + done : a_at[k] + a_n[k]], b[b_at[k] + done : b_at[k] + b_n[k]])
+    return out
 
 
 def words(raw: np.ndarray, at: np.ndarray, kind: np.ndarray = ALNUM):

@@ -31,13 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitweave.llm import tokens
-from bitweave.llm.common import open_fs, put_file, scratch, stored, tasks_of
+from bitweave.llm.common import bounded_batches, estimated_bytes, open_fs, put_file, scratch, stored, tasks_of
 from bitweave.llm.textcodes import mix
 
 SHARD, INDEX = b"BWTOKEN1", b"BWINDEX1"
 SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("first", "<u8"), ("n", "<u8")])
 #: Keys to a displacement group, on average.
 GROUP = 4
+#: Bytes of texts to a shard, by Spark's estimate; a session's shuffle partitions are the fewest shards.
+SHARD_BYTES = 128 << 20
 
 
 def _hashes(keys: np.ndarray, salt: int) -> np.ndarray:
@@ -123,7 +125,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     """
     spark = docs.sparkSession
     path = path or scratch(spark, "tokens")
-    shards = shards or tasks_of(spark)
+    shards = shards or max(tasks_of(spark), estimated_bytes(docs.select(id_col, text_col)) // SHARD_BYTES)
+    bounded_batches(spark)
     spec = spark.sparkContext.broadcast(tokens.vocabulary(tokenizer))
     docs = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
     if null_keys:  # many rows without a key are spread by their texts

@@ -8,8 +8,10 @@ numbered for many texts at once on their bytes, by 64-bit codes; a worker keeps
 the ids of the codes it has met, and the library encodes the new ones of a
 chunk in one call: pieces of letters as they are after the byte step, where
 only a piece's first token holds the space it begins with, and others as texts
-with a special token between them. A text with other white space goes to the
-library whole. Tokenizers of another kind always do.
+with a special token between them. Pieces of one code are compared byte by byte,
+and a text with a piece that differs goes to the library whole. So does a text
+with other white space or with the name of an added token, which the library
+takes for that token. Tokenizers of another kind always do.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ import pyarrow as pa
 
 from bitweave.llm import textcodes as tc
 
-#: Pieces that a worker keeps at most; then it starts again.
-KEEP, RECENT = 1_500_000, 100_000
+#: Pieces and bytes of pieces that a worker keeps at most, about; then it starts again.
+KEEP, KEEP_BYTES, RECENT = 1_500_000, 1 << 25, 100_000
 _HEAD = "\x01"
 #: Pieces of letters and a run of marks, which are two words of their own to the tokenizer.
 _PLAIN = re.compile(r"^(\x01?)([^\W\d_]+)([.,;:!?)]*)$", re.M)
@@ -45,14 +47,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(spec)
-        self.whole.encode_special_tokens = True
         self.keep, self.memo = keep, {}
         self._forget()
         kind = json.loads(spec)
         split, added = kind.get("pre_tokenizer") or {}, kind.get("added_tokens") or []
         self.pieces = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not kind.get("normalizer") and bool(added)
+        self.added = [a["content"].encode() for a in added]
         if self.pieces:
-            self.joined = Tokenizer.from_str(spec)
             self.mark, self.mark_id = added[0]["content"], added[0]["id"]
             self.words = Tokenizer.from_str(json.dumps(kind | {"pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "decoder": None, "added_tokens": []}))
             with contextlib.suppress(AttributeError):  # new pieces are never in the model's own cache
@@ -103,88 +104,118 @@ class Encoder:
             ids = self._words(" \n" + "\n \n".join(first))
             self._keep(heads, ids, np.flatnonzero(self.begins[ids]), 1)
         if other:
-            ids = np.array(self.joined.encode_batch_fast([self.mark + self.mark.join(texts)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.whole.encode_batch_fast([self.mark + self.mark.join(texts)], add_special_tokens=False)[0].ids, dtype="<u4")
             self._keep(other, ids, np.flatnonzero(ids == self.mark_id), 1)
 
     def _forget(self) -> None:
         none = np.zeros(0, dtype=np.int64)
-        # known codes in order, where their ids begin in the pool and how many they are: all, and the latest
-        self.known = [(none.view(np.uint64), none, none)] * 2
-        self.pool, self.used = np.zeros(1 << 16, dtype="<u4"), 0
-
-    def _add(self, codes: np.ndarray, ids: list[bytes]) -> None:
+        # known codes in order with the numbers of their pieces: all, and the latest
+        self.known = [(none.view(np.uint64), none)] * 2
+        # of each piece: where its ids and its bytes begin, how many they are, and what stands before it
+        self.rows = np.zeros((1 << 12, 5), dtype=np.int64)
+        self.pool, self.bytes_pool = np.zeros(1 << 16, dtype="<u4"), np.zeros(1 << 16, dtype=np.uint8)
+        self.n = self.used = self.used_bytes = 0
+
+    def _add(self, codes: np.ndarray, ids: list[bytes], raw: np.ndarray, at: np.ndarray, size: np.ndarray, kind: np.ndarray) -> None:
+        """Keep new pieces: their codes in order, ids, and bytes given by places in raw."""
         new, lens = np.frombuffer(b"".join(ids), "<u4"), np.array([len(i) // 4 for i in ids], dtype=np.int64)
-        while self.used + len(new) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        own = raw[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        self.pool = _room(self.pool, self.used + len(new))
+        self.bytes_pool = _room(self.bytes_pool, self.used_bytes + len(own) + 8)
+        self.rows = _room(self.rows, self.n + len(codes))
         self.pool[self.used : self.used + len(new)] = new
-        begin = self.used + np.cumsum(lens) - lens
-        self.used += len(new)
+        self.bytes_pool[self.used_bytes : self.used_bytes + len(own)] = own
+        self.rows[self.n : self.n + len(codes)] = np.stack([self.used + np.cumsum(lens) - lens, lens, self.used_bytes + np.cumsum(size) - size, size, kind], axis=1)
 
         def merged(a, b):
-            keys, begin, lens = (np.concatenate(x) for x in zip(a, b, strict=True))
+            keys, number = (np.concatenate(x) for x in zip(a, b, strict=True))
             order = np.argsort(keys, kind="stable")
-            return keys[order], begin[order], lens[order]
+            return keys[order], number[order]
 
-        self.known[1] = merged(self.known[1], (codes, begin, lens))
+        self.known[1] = merged(self.known[1], (codes, self.n + np.arange(len(codes))))
+        self.n, self.used, self.used_bytes = self.n + len(codes), self.used + len(new), self.used_bytes + len(own)
         if len(self.known[1][0]) > RECENT:
             self.known = [merged(*self.known), tuple(x[:0] for x in self.known[1])]
 
-    def _find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(begin, number of ids) of known codes; -1 ids of unknown ones."""
-        begin, lens = np.zeros(len(codes), np.int64), np.full(len(codes), -1, np.int64)
-        for keys, at, n in self.known:
+    def _find(self, codes: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces of known codes; -1 for unknown ones."""
+        out = np.full(len(codes), -1, np.int64)
+        for keys, number in self.known:
             if len(keys):
                 k = np.searchsorted(keys, codes)
                 k[k == len(keys)] = 0
                 hit = keys[k] == codes
-                begin[hit], lens[hit] = at[k[hit]], n[k[hit]]
-        return begin, lens
+                out[hit] = number[k[hit]]
+        return out
 
-    def chunk(self, raw: np.ndarray, at: np.ndarray) -> list[bytes]:
-        """The ids of each text of a chunk, given as UTF-8 bytes and offsets."""
+    def chunk(self, raw: np.ndarray, at: np.ndarray, odd: np.ndarray | None = None) -> list[bytes]:
+        """The ids of each text of a chunk, given as UTF-8 bytes and offsets; odd: texts to take whole."""
         whole = lambda k: self._ids(raw[at[k] : at[k + 1]].tobytes().decode())
         n = len(at) - 1
         if not self.pieces:
             return [whole(k) for k in range(n)]
-        if len(self.known[0][0]) > self.keep:
+        if self.n > self.keep or self.used_bytes > KEEP_BYTES:
             self._forget()
-        odd = _odd_texts(raw, at)
+        odd = _odd_texts(raw, at, self.added) if odd is None else odd
         starts, stops, first = tc.word_spans(raw, at, tc.NONSPACE)
         before = raw[np.maximum(starts - 1, 0)]
         kind = np.where(before == 10, 2, 0)
         kind[np.searchsorted(starts, at[:-1][np.diff(first) > 0])] = 1
-        codes = tc.mix(tc.word_codes(raw, starts, stops) + kind.astype(np.uint64))
-        keep = ~odd[tc.owners(first)]
-        starts, stops, kind, codes = starts[keep], stops[keep], kind[keep], codes[keep]
+        codes = tc.mix(self._codes(raw, starts, stops) + kind.astype(np.uint64))
+        owner = tc.owners(first)
+        keep = ~odd[owner]
+        starts, size, kind, codes, owner = starts[keep], (stops - starts)[keep], kind[keep], codes[keep], owner[keep]
         unique, where, inverse = np.unique(codes, return_index=True, return_inverse=True)
-        begin, lens = self._find(unique)
-        new = np.flatnonzero(lens < 0)
+        number, same = where[inverse], self._find(unique)
+        # a code stands for one piece: all its occurrences are compared with the first one, and that with the piece kept
+        differ = ~tc.equal_words(raw, starts, size, raw, starts[number], size[number]) | (kind != kind[number])
+        old = np.flatnonzero(same >= 0)
+        rows = self.rows[same[old]]
+        fine = tc.equal_words(raw, starts[where[old]], size[where[old]], self.bytes_pool, rows[:, 2], rows[:, 3], True) & (kind[where[old]] == rows[:, 4])
+        if not fine.all():
+            other = np.zeros(len(unique), dtype=bool)
+            other[old[~fine]] = True
+            differ |= other[inverse]
+        if differ.any():
+            odd[owner[differ]] = True
+            return self.chunk(raw, at, odd)
+        new = np.flatnonzero(same < 0)
         if len(new):
             w = where[new]
-            pieces = [(_HEAD if k else "") + raw[a:b].tobytes().decode() for a, b, k in zip(starts[w].tolist(), stops[w].tolist(), kind[w].tolist(), strict=True)]
+            pieces = [(_HEAD if k else "") + raw[a : a + b].tobytes().decode() for a, b, k in zip(starts[w].tolist(), size[w].tolist(), (kind[w] > 0).tolist(), strict=True)]
             self.memo.clear()
             self._learn(set(pieces))
             line = self.memo.get("\n") or self._ids("\n")
             found = [self.memo.get(p) or self._ids(p[1:] if p[0] == _HEAD else f" {p}") for p in pieces]
-            self._add(unique[new], [line + f if k == 2 else f for f, k in zip(found, kind[w].tolist(), strict=True)])
-            begin, lens = self._find(unique)
-        size = lens[inverse]
-        ids = self.pool[np.repeat(begin[inverse] - (np.cumsum(size) - size), size) + np.arange(size.sum())].tobytes()
+            self._add(unique[new], [line + f if k == 2 else f for f, k in zip(found, kind[w].tolist(), strict=True)], raw, starts[w], size[w], kind[w])
+            same = self._find(unique)
+            self.memo.clear()
+        begin, lens = self.rows[same, 0][inverse], self.rows[same, 1][inverse]
+        ids = self.pool[np.repeat(begin - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())].tobytes()
         pieces_of = np.where(odd, 0, np.diff(first))
-        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(pieces_of)] * 4
+        ends = np.concatenate([[0], np.cumsum(lens)])[np.cumsum(pieces_of)] * 4
         out, a = [], 0
         for k, b in enumerate(ends.tolist()):
             out.append(whole(k) if odd[k] else ids[a:b])
             a = b
         return out
 
+    _codes = staticmethod(tc.word_codes)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null is the empty text."""
         return self.chunk(*tc.utf8(pa.array(texts, pa.large_string())))
 
 
-def _odd_texts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Texts with white space that is not a single space or line end between other characters, or with the mark used here."""
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """a, with space for n rows at least."""
+    while len(a) < n:
+        a = np.concatenate([a, np.zeros_like(a)])
+    return a
+
+
+def _odd_texts(raw: np.ndarray, at: np.ndarray, names: list[bytes]) -> np.ndarray:
+    """Texts with white space that is not a single space or line end between other characters, with the mark used here, or with one of the names."""
     odd = np.zeros(len(at) - 1, dtype=bool)
     if not len(raw):
         return odd
@@ -201,6 +232,12 @@ def _odd_texts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         wide = (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
         wide |= (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (a == 0xE2) & (b == 0x81) & (c == 0x9F)
         bad[lead[wide]] = True
+    data = raw.tobytes()
+    for name in names:
+        k = data.find(name)
+        while k >= 0:
+            bad[k] = True
+            k = data.find(name, k + 1)
     odd[np.searchsorted(at, np.flatnonzero(bad), side="right") - 1] = True
     return odd
 

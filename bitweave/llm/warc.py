@@ -3,8 +3,9 @@
 Every task writes gzip records, one member each, and sorts the captures of its
 own files by URL key, timestamp and record: a run. The runs are merged like an
 external sort: splitters taken from the runs cut the key space into ranges, a
-task gets its range's slice of every run, and a loser tree merges the slices.
-Ranges follow each other, so the index files hold the globally ordered history.
+task gets its range's piece of every run, in order as it is, and a loser tree
+merges the pieces. Ranges follow each other, so the index files hold the
+globally ordered history.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import base64
 import gzip
 import hashlib
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime, timedelta
 from urllib.parse import quote, urlsplit
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitweave.llm.common import open_fs, put_file, scratch, stored, tasks_of
+from bitweave.llm.common import FileWriter, bounded_batches, open_fs, put_file, scratch, stored, tasks_of
 
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAME = "urn:bitweave:capture:"
@@ -31,6 +32,8 @@ NAME = "urn:bitweave:capture:"
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 #: An archive file is closed once it is larger.
 ROLL = 1 << 30
+#: Captures of a range and splitters sampled for each, about; captures of a piece that are read at a time.
+RANGE, SAMPLE, BATCH = 500_000, 20, 1000
 CAPTURE = "urlkey string, time string, id long, file string, offset long, length long, type string"
 
 
@@ -133,6 +136,7 @@ def write_archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     global order (columns of CAPTURE with range and place).
     """
     spark = pages.sparkSession
+    bounded_batches(spark)
     path = path or scratch(spark, "warc")
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     pages = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("about:blank")).alias("url"), html.alias("html"))
@@ -176,40 +180,87 @@ _TYPES = [pa.int64() if x.endswith("long") else pa.string() for x in CAPTURE.spl
 def merge_runs(runs: DataFrame, path: str) -> DataFrame:
     """Merge sorted runs of captures into one global order, and write its index files.
 
-    runs: run and the columns of CAPTURE, each run in order. A range that holds
-    one URL's many captures is cut by time and id like any other.
+    runs: run and the columns of CAPTURE, each run in order. Splitters taken
+    from the runs cut the keys into ranges of about RANGE captures. Every run
+    is cut at them, a piece goes to its range whole and compressed, and a range
+    merges its pieces as streams, so it holds no more than its compressed
+    pieces and a batch of each. A range that holds one URL's many captures is
+    cut by time and id like any other.
     """
     spark = runs.sparkSession
-    ranges = tasks_of(spark)
-    stride = max(1, runs.count() // (ranges * 64))
+    total = runs.count()
+    ranges = max(tasks_of(spark), -(-total // RANGE))
+    stride = max(1, total // (ranges * SAMPLE))
     some = runs.where(F.pmod(F.xxhash64("file", "offset"), F.lit(stride)) == 0).select("urlkey", "time", "id")
-    keys = sorted(tuple(r) for r in some.collect())  # about 64 for each range
+    keys = sorted(tuple(r) for r in some.collect())  # about SAMPLE for each range
     splits = [keys[len(keys) * r // ranges] for r in range(1, ranges)] if keys else []
 
     def deal(batches):
+        run, held = None, []
+
+        def pieces():
+            """The run's pieces: it is in order, so a piece is a stretch of it."""
+            table = pa.Table.from_batches(held)
+            key = list(zip(*(table.column(c).to_pylist() for c in _NAMES[:3]), strict=True))
+            at, out = 0, []
+            while at < len(key):
+                where = bisect_right(splits, key[at])
+                stop = bisect_left(key, splits[where], at) if where < len(splits) else len(key)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_table(table.slice(at, stop - at), BATCH)
+                out.append((where, sink.getvalue().to_pybytes()))
+                at = stop
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], names=["range", "piece"])
+
         for batch in batches:
-            at = [bisect_right(splits, k) for k in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *batch.columns], names=["range", *batch.schema.names])
+            numbers, at = batch.column(0).to_numpy(), 0
+            while at < len(numbers):
+                if numbers[at] != run:
+                    if held:
+                        yield from pieces()
+                    run, held = numbers[at], []
+                stop = at + int((numbers[at:] != run).argmax()) if (numbers[at:] != run).any() else len(numbers)
+                held.append(batch.slice(at, stop - at).drop_columns(["run"]))
+                at = stop
+        if held:
+            yield from pieces()
+
+    def stream(piece: bytes):
+        with pa.ipc.open_stream(piece) as reader:
+            for batch in reader:
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
     def merge(batches):
-        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        row = next(rows, None)
-        while row is not None:
-            current, slices = row[0], []
-            while row is not None and row[0] == current:
-                run, one = row[1], []
-                while row is not None and row[:2] == (current, run):
-                    one.append(row[2:])
-                    row = next(rows, None)
-                slices.append(one)
-            merged = list(LoserTree(slices))
-            put_file(f"{path}/index-{current:06d}.cdx", ((" ".join(map(str, c)) + "\n").encode("utf-8", "surrogatepass") for c in merged))
-            for k in range(0, len(merged), 20_000):
-                part = merged[k : k + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([current] * len(part), pa.int32()), pa.array(range(k, k + len(part)), pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*part, strict=True), _TYPES, strict=True))], names=["range", "place", *_NAMES])
-
-    dealt = runs.select("run", *_NAMES).mapInArrow(deal, f"range int, run long, {CAPTURE}")
-    return stored(dealt.repartition(ranges, "range").sortWithinPartitions("range", "run", "urlkey", "time", "id", "file", "offset").mapInArrow(merge, f"range int, place long, {CAPTURE}"), "cdx")
+        def merged(current: int, own: list[bytes]):
+            out, part, k = FileWriter(f"{path}/index-{current:06d}.cdx"), [], 0
+
+            def rows():
+                return pa.RecordBatch.from_arrays([pa.array([current] * len(part), pa.int32()), pa.array(range(k, k + len(part)), pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*part, strict=True), _TYPES, strict=True))], names=["range", "place", *_NAMES])
+
+            for capture in LoserTree(map(stream, own)):
+                out.write((" ".join(map(str, capture)) + "\n").encode("utf-8", "surrogatepass"))
+                part.append(capture)
+                if len(part) == 10_000:
+                    yield rows()
+                    part, k = [], k + len(part)
+            out.close()
+            if part:
+                yield rows()
+
+        current, own = None, []
+        for batch in batches:
+            for where, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if where != current:
+                    if own:
+                        yield from merged(current, own)
+                    current, own = where, []
+                own.append(piece)
+        if own:
+            yield from merged(current, own)
+
+    pieces = runs.select("run", *_NAMES).mapInArrow(deal, "range int, piece binary")
+    return stored(pieces.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(merge, f"range int, place long, {CAPTURE}"), "cdx")
 
 
 def read_archive(archive: dict) -> DataFrame:

@@ -40,15 +40,21 @@ def texts():
     base = words_of(rng, 80, 4000)
     rows = [(1, None), (2, ""), (3, " \n\t "), (4, base), (5, base), (6, base + " tail"), (7, "Éa b"), (8, "a"), (9, words_of(rng, 6000)), (10, base.replace("w1", "W1") + "!")]
     rows += [(20 + k, words_of(rng, rng.randrange(1, 90), 500)) for k in range(30)]
+    rows += [(60 + k, f"a {w} b") for k, w in enumerate(thue_morse())] + [(62, "one<|endoftext|>two <|endoftext|>"), (63, words_of(random.Random(6), 40, 500)), (63, words_of(random.Random(6), 40, 500))]
     return rows
 
 
+def thue_morse(n=1024):
+    """Two words with the same polynomial code modulo a power of two, whatever its base."""
+    one = "".join("ab"[k.bit_count() % 2] for k in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -70,13 +76,33 @@ def test_words_of_chunks():
         assert got == [ALNUM.findall(low(t)) for t in rows]
 
 
-def test_pieces_make_the_library_ids(tokenizer):
+@pytest.mark.parametrize("codes", [1 << 64, 40])
+def test_pieces_make_the_library_ids(tokenizer, monkeypatch, codes):
+    """Also where many pieces share a code."""
+    if codes < 1 << 64:
+        monkeypatch.setattr(tokens.Encoder, "_codes", staticmethod(lambda *word: textcodes.word_codes(*word) % np.uint64(codes)))
     rng = random.Random(1)
     parts = ["a", "B", "é", "ß", "1", "23", " ", "  ", "\n", "\n\n", "\t", ",", ".", "'s", "'", "don't", "<|endoftext|>", "\x01", " ", " ", "中文", "²", "Ⅷ", "_", "?!", ")", "\r\n", "…", " the", " Word"]
-    rows = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(4000)] + [None, ""]
-    codec = tokens.Encoder(tokens.vocabulary(tokenizer_path()))
-    for got, text in zip(codec.encode(rows), rows, strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == tokenizer(text)[:-1], text
+    rows = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(4000)] + [None, "", *thue_morse()]
+    codec = tokens.Encoder(tokens.vocabulary(tokenizer_path()), keep=300)
+    for k in range(0, len(rows), 500):
+        for got, text in zip(codec.encode(rows[k : k + 500]), rows[k : k + 500], strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == tokenizer(text)[:-1], text
+
+
+def test_word_codes_and_comparison():
+    a, b = thue_morse()
+    rows = [a, b, a, "x" * 70, "x" * 69 + "y", "x" * 64, "", "abcdefgh", "abcdefgi", "abcdefghi"]
+    raw = np.frombuffer("".join(rows).encode(), np.uint8)
+    size = np.array([len(r) for r in rows])
+    at = np.cumsum(size) - size
+    full = size > 0
+    codes = textcodes.word_codes(raw, at[full], (at + size)[full])
+    assert len(set(codes.tolist())) == len({r for r in rows if r})
+    assert not set(codes.tolist()) & set(textcodes.word_codes(raw, at[full], (at + size)[full], 1).tolist())
+    for k in range(len(rows)):
+        same = textcodes.equal_words(raw, at, size, raw, np.roll(at, k), np.roll(size, k))
+        assert same.tolist() == [x == y for x, y in zip(rows, rows[-k:] + rows[:-k] if k else rows, strict=True)]
 
 
 def test_packing(spark, texts, tokenizer):
@@ -87,7 +113,7 @@ def test_packing(spark, texts, tokenizer):
         sequences[p.sequence_id].append((p.offset, p.length))
     for i, text in texts:
         ids, at = tokenizer(text), 0
-        for k, p in enumerate(sorted(by[i], key=lambda p: p.piece)):
+        for k, p in enumerate(sorted(by[i], key=lambda p: p.piece)[:: 2 if i == 63 else 1]):
             assert (p.piece, p.start, p.ids_crc32) == (k, at, crc(ids[at : at + p.length])) and (k == 0 or p.length == 64)
             at += p.length
         assert at == len(ids)
@@ -119,6 +145,18 @@ def test_plan_places_everything():
         assert sum(t for _, t in plan) <= len(gaps)
 
 
+def test_plan_is_made_of_exact_fills():
+    """Where lengths have complements, they are met; the rest is packed best-fit and no sequence more than by best-fit alone."""
+    rng = random.Random(3)
+    assert packing.plan({40: 5, 24: 5, 30: 4, 20: 4, 14: 4, 64: 2}, 64) == [((64,), 2), ((40, 24), 5), ((30, 20, 14), 4)]
+    for most in (64, 1024):
+        histogram = {n: rng.randrange(1, 400) for n in range(1, most)}
+        plan = packing.plan(histogram, most)
+        exact = sum(t for p, t in plan if sum(p) == most and len(p) <= 4)
+        alone = packing._best_fit(np.array([histogram.get(n, 0) for n in range(most + 1)]), most)
+        assert sum(t for _, t in plan) <= sum(t for _, t in alone) and exact > 0.5 * sum(t for _, t in plan)
+
+
 def test_license_scan(spark, texts):
     rows = [*texts, (100, "x CC\nby y, General  Public License. all rights reserved ALL RIGHTS RESERVED"), (101, "licensd under teh Apache license"), (102, "cc"), (103, "by")]
     found = {r.doc_id: r for r in license_scan.scan(documents(spark, rows)).collect()}
@@ -139,6 +177,43 @@ def test_license_scan(spark, texts):
     assert found[20].labels == []
 
 
+def test_notices_against_brute_force():
+    """Every window of a notice's length and errors is tried, by edit distance."""
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(9)
+    notices = {"mozilla public license": "mpl", "released under the mit license": "mit"}
+    scanner = license_scan.Notices(notices)
+    for _ in range(60):
+        notice = rng.choice(list(notices))
+        text = list(notice)
+        for _ in range(rng.randrange(6)):
+            k = rng.randrange(len(text))
+            text[k : k + 1] = rng.choice([[], [rng.choice("aeiz ")], [text[k], "q"]])
+        text = "lorem " + "".join(text) + " ipsum"
+        want = set()
+        for n, label in notices.items():
+            k = min(license_scan.MOST_ERRORS, len(n) // license_scan.CHARS_PER_ERROR)
+            best = min(distance(n, text[a:b]) for a in range(len(text)) for b in range(a + len(n) - k, min(len(text), a + len(n) + k) + 1))
+            if best <= k:
+                want.add((label, best))
+        assert {(s[0], s[3]) for s in scanner.spans(text)} == want
+    many = scanner.spans("released under the mit license. " * 300)
+    assert [s[1] for s in many] == list(range(0, 9600, 32))
+
+
+def test_one_label_for_a_notice():
+    scanner = license_scan.Notices(license_scan.NOTICES)
+    for text, label in (("licensed under cc by-nc", "cc-by-nc"), ("licensed under the mit license", "mit"), ("apache license version 2.0", "apache"), ("this license is licensd", None)):
+        assert [s[0] for s in scanner.spans(text)] == ([label] if label else [])
+
+
 def test_notices_back_to_back():
     """A worse match beside a better one is reported as well, whichever comes first."""
     good, worse, worst = "released under the mit license", "releasd under the mit license", "releasd undr the mit license"
@@ -172,11 +247,11 @@ def test_lm_score(spark, texts, stretch):
     got = {r.doc_id: r for r in lm.score(documents(spark, texts), held_out=crc_mod("doc_id", 10) == 0, tune=crc_mod("doc_id", 10) == 1, stretch=stretch).collect()}
     words = {i: [*SPACE.findall(low(t)), None] for i, t in texts}
     held = {i: zlib.crc32(str(i).encode()) % 10 for i, _ in texts}
-    train = {i: w for i, w in words.items() if held[i] != 0}
-    c = Counter(x for w in train.values() for x in w)
+    train = [(i, words[i]) for i, _ in texts if held[i] != 0]  # a repeated row counts again
+    c = Counter(x for _, w in train for x in w)
     total, kinds = sum(c.values()), len(c)
-    tuned = [w for i, w in train.items() if held[i] == 1]
-    kept = [w for i, w in train.items() if held[i] != 1]
+    tuned = [w for i, w in train if held[i] == 1]
+    kept = [w for i, w in train if held[i] != 1]
     pairs = lambda w: list(zip([0, *w[:-1]], w, strict=True))
 
     def estimates(docs):
@@ -189,10 +264,10 @@ def test_lm_score(spark, texts, stretch):
         context = begins if h == 0 else one[h]
         return (context.bit_length(), two[pair] / context if context else 0.0, one[x] / max(1, sum(one.values())), 1 / (len([v for v in one.values() if v]) + 1))
 
-    own = estimates(kept)
+    own, final = estimates(kept), estimates([w for _, w in train])
     rows = [parts(own, p) for w in tuned for p in pairs(w)]
     weights = {}
-    for b in {parts(estimates(list(train.values())), p)[0] for w in words.values() for p in pairs(w)} | {r[0] for r in rows}:
+    for b in {parts(final, p)[0] for w in words.values() for p in pairs(w)} | {r[0] for r in rows}:
         weights[b] = None
     last = np.array([0.4, 0.5, 0.1])
     for b in range(max(weights) + 1):
@@ -205,7 +280,6 @@ def test_lm_score(spark, texts, stretch):
         if b and len(q):
             last = np.maximum(w, 1e-6)
         weights[b] = w
-    final = estimates(list(train.values()))
     for i, w in words.items():
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i] == 0, len(w), sum(c[x] > 0 for x in w), total)
@@ -254,7 +328,8 @@ def test_jaccard_classes(spark, texts, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 5)
     for limit in (0, 10_000):  # texts fetched by a shuffle and by a broadcast
         monkeypatch.setattr(jaccard, "BROADCAST_ROWS", limit)
-        got = {r.doc_id: r for r in jaccard.jaccard_classes(documents(spark, rows)).collect()}
+        every = jaccard.jaccard_classes(documents(spark, rows)).collect()
+        got = {r.doc_id: r for r in every}
         words = {i: tuple(ALNUM.findall(low(t))) for i, t in rows if i is not None}
         sets = {i: {w[k : k + 5] for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
         root = {i: i for i in words}
@@ -264,7 +339,7 @@ def test_jaccard_classes(spark, texts, monkeypatch):
                 x = root[x]
             return x
 
-        links, copies = defaultdict(set), Counter()
+        links, copies = defaultdict(set), Counter({63: 1})  # a row that is there twice
         for a in words:
             for b in words:
                 if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
@@ -277,7 +352,7 @@ def test_jaccard_classes(spark, texts, monkeypatch):
                         links[a].add(words[b])
                         links[b].add(words[a])
         assert {i: (got[i].class_id, got[i].n_links, got[i].n_copies) for i in words} == {i: (top(i), len(links[i]), copies[i]) for i in words}
-        assert got[None].class_id is None and len(got) == len(rows)
+        assert got[None].class_id is None and Counter(r.doc_id for r in every) == Counter(i for i, _ in rows)
 
 
 def test_components(spark):
@@ -312,9 +387,21 @@ def test_top_k(spark):
             want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:5])]
     for block in (2, 1000):
         assert sorted(tuple(r) for r in topk.top_k(table, block=block).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in topk.top_k(table, file_rows=7).collect()) == sorted(want)
     assert topk.top_k(table.where("false")).isEmpty()
 
 
+def test_top_k_of_large_numbers(spark):
+    """Scores near the ends of 64 bits are exact; beyond them they are an error."""
+    big = float(1 << 23)  # 2**31 after scaling
+    rows = [(50, [big, big, -1.0]), (1, [big, big - 1, 0.0]), (2, [big, -big, 1.0]), (3, [-big, -big, 0.0])]
+    scores = {i: sum(int(256 * x) * int(256 * y) for x, y in zip(rows[0][1], v, strict=True)) for i, v in rows[1:]}
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: r.score for r in got} == scores
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(spark.createDataFrame([(0, [2.0**33]), (1, [2.0**33])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_token_files(spark, texts, tokenizer):
     rows = [*texts, (-4, "first"), (8, "again"), (None, "lost")]
     found = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokenfile.token_files(documents(spark, rows), tokenizer_path(), shards=3).collect())
@@ -348,13 +435,26 @@ def test_index_tells_unknown_keys(spark, texts, tokenizer):
     store = tokenfile.write_tokens(documents(spark, texts), tokenizer_path(), shards=3)
     asked = spark.range(-500, 1500).withColumnRenamed("id", "doc_id")
     found = tokenfile.locate(spark, asked, store)
-    assert {r.key for r in found.collect()} == {i for i, _ in texts} and store["keys"] == len(texts)
+    assert {r.key for r in found.collect()} == {i for i, _ in texts} and store["keys"] == len({i for i, _ in texts})
     ids = {r.key: r.ids for r in tokenfile.read_tokens(found, store, payload=True).collect()}
     assert ids == {i: tokenizer(t) for i, t in texts}
     for n in (1, 2, 7, 1000):
         assert sorted(tokenfile.build(np.arange(n) * 13 - 5)[1]) == list(range(n))
 
 
+def test_html_rules():
+    """Classes count as wholes, for every element; the page itself is never dropped for its classes."""
+    def kept(page):
+        return [t for s, t in html_text.blocks(page) if s != html_text.DROP]
+
+    assert kept("<head><title>x</title><meta charset=u><p>text <b>more</b>") == ["text more"]
+    assert kept("<body class='no-sidebar menu'><article class='comment'>x</article>") == ["x"]
+    assert kept("<article><p>a</p><p class='ad'>buy</p><p>b <span class=ad>no <span>deep</span> no</span> c</p><p class=cookie-notice>ck<p>d</article>") == ["a", "b c", "d"]
+    assert kept("<section id='notice-of-motion'>s</section><div class='related-work'>r</div><div class='x related'>q</div>") == ["s", "r"]
+    assert kept("<article><header>h</header>a<div id=comments><p>talk<div>more</div></div>z</article><p>out") == ["h", "a", "z"]
+    assert kept("<ul role=navigation><li>1<li>2</ul>rest<input class=ad>k<script>x") == ["restk"]
+
+
 def test_suffix_array():
     rng = np.random.default_rng(11)
     for _ in range(100):
@@ -425,17 +525,19 @@ def test_html_copies_keep_their_text(spark, group):
 
 
 @pytest.mark.parametrize("block", [60, 10_000])
-def test_decontamination(spark, texts, block):
+def test_decontamination(spark, texts, block, monkeypatch):
+    monkeypatch.setattr(decontaminate, "KEEP", 2)
     rng = random.Random(12)
     items = [(k, words_of(rng, n, 60)) for k, n in enumerate([1, 3, 8, 9, 20, 30])] + [(90, None), (91, "..."), (92, words_of(random.Random(5), 12, 4000)), (93, texts[8][1][:200])]
-    rows = [*texts, (400, "x " + items[4][1] + " " + items[5][1].upper()), (401, items[1][1])]
+    items += [(None, "".join(f"n{k} " for k in range(9))), (None, None), (None, items[4][1])]
+    rows = [*texts, (400, "x " + items[4][1] + " " + items[5][1].upper()), (401, items[1][1]), (402, "y " + items[10][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.decontaminate(documents(spark, rows), bench, block_chars=block).collect()}
     windows = defaultdict(set)
     for i, t in items:
         w = ALNUM.findall(low(t))
         for k in range(max(1, len(w) - 7) if w else 0):
-            windows[tuple(w[k : k + 8])].add(str(i))
+            windows[tuple(w[k : k + 8])].update([] if i is None else [str(i)])
     for i, t in rows:
         w, hit, found = ALNUM.findall(low(t)), set(), set()
         for window, of in windows.items():

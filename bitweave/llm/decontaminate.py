@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bitweave.llm import textcodes as tc
-from bitweave.llm.common import bounded_batches, put_file, read_file, scratch, stored
+from bitweave.llm.common import bounded_batches, lean, put_file, read_file, scratch, stored
 
 WINDOW = 8
 #: Characters of a block about, blocks that a task keeps, and bytes of text for which it goes through the blocks if there are more.
@@ -203,7 +203,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array(hit), pa.array(named, pa.list_(pa.string())), *batch.columns[2:]], names=[id_col, "n_words", "n_hit", "item_ids", *batch.schema.names[2:]])
 
     schema = T.StructType([docs.schema[0], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), *docs.schema[2:]])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def _frequencies(docs: DataFrame, folder: str, n_blocks: int) -> DataFrame:
@@ -231,5 +231,5 @@ def _frequencies(docs: DataFrame, folder: str, n_blocks: int) -> DataFrame:
                     yield from rows()
         yield from rows()
 
-    counts = docs.select("__text").mapInArrow(run, "block long, k long, n long").groupBy("block", "k").agg(F.sum("n").alias("n"))
+    counts = docs.select("__text").mapInArrow(lean(run), "block long, k long, n long").groupBy("block", "k").agg(F.sum("n").alias("n"))
     return stored(counts, "frequencies") if n_blocks else counts

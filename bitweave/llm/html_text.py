@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitweave.llm import textcodes as tc
-from bitweave.llm.common import bounded_batches, stored, tasks_of
+from bitweave.llm.common import bounded_batches, lean, stored, tasks_of
 
 #: Tokens that a shared substring has at least, and tokens in a group of pages.
 LEAST, GROUP = 8, 200_000
@@ -273,7 +273,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
             yield pa.RecordBatch.from_arrays([batch.column(3), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary(), pa.int64(), pa.bool_(), pa.int64()), strict=True))] if rows else [pa.array([], t) for t in (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.bool_(), pa.int64())], names=["page", "host", "tokens", "n", "open", "content"])
 
     keyed = pages.withColumn("page", F.xxhash64("id", "url", "html"))
-    rows = stored(keyed.select("id", "url", "html", "page").mapInArrow(streams, "page long, host string, tokens binary, n long, open boolean, content long").withColumn("stream", F.xxhash64("host", "tokens", "content")), "streams")
+    rows = stored(keyed.select("id", "url", "html", "page").mapInArrow(lean(streams), "page long, host string, tokens binary, n long, open boolean, content long").withColumn("stream", F.xxhash64("host", "tokens", "content")), "streams")
     sizes = rows.groupBy("host").agg(F.ceil(F.sum("n") / group).alias("groups"), F.max("open").alias("any")).where("any")
     dealt = rows.dropDuplicates(["stream"]).join(sizes, "host").withColumn("g", F.pmod(F.xxhash64("stream"), F.greatest("groups", F.lit(1)))).withColumn("code", F.xxhash64("host"))
 
@@ -287,7 +287,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     # Windows are counted once for each group, so one that stands on all pages of a host has a row for each group of it.
     large = dealt.where("groups > 1").select("host", "g", "tokens", "content", "code")
-    held = large.mapInArrow(windows, "host string, g long, content long, w long").groupBy("w", "host", "g").agg(F.min("content").alias("low"), F.max("content").alias("high"))
+    held = large.mapInArrow(lean(windows), "host string, g long, content long, w long").groupBy("w", "host", "g").agg(F.min("content").alias("low"), F.max("content").alias("high"))
     same = Window.partitionBy("w")
     met = held.select("host", "g", "w", F.min("low").over(same).alias("low"), F.max("high").over(same).alias("high")).where("low < high")
 
@@ -319,7 +319,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     members = dealt.select("host", "g", "stream", "tokens", "open", "code", "content")
     if not sizes.where("groups > 1").isEmpty():  # a window's code stands in a row without tokens
         members = members.unionByName(met.select("host", "g", F.col("w").alias("stream")), allowMissingColumns=True)
-    covered = stored(members.repartition(tasks, "host", "g").sortWithinPartitions("host", "g", "stream").mapInArrow(settle, "stream long, covered binary"), "covered")
+    covered = stored(members.repartition(tasks, "host", "g").sortWithinPartitions("host", "g", "stream").mapInArrow(lean(settle), "stream long, covered binary"), "covered")
     if covered.isEmpty():  # no page waits for an answer, so the pages need not be moved
         joined = keyed.withColumn("covered", F.lit(None).cast("binary"))
     else:
@@ -345,4 +345,4 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                 out.append("\n".join(text))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=[id_col, "url", "text", "n_chars"])
 
-    return joined.select("id", "url", "html", "covered").mapInArrow(texts, f"`{id_col}` {kind}, url string, text string, n_chars long")
+    return joined.select("id", "url", "html", "covered").mapInArrow(lean(texts), f"`{id_col}` {kind}, url string, text string, n_chars long")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitweave.llm import textcodes as tc
-from bitweave.llm.common import bounded_batches, stored, tasks_of
+from bitweave.llm.common import bounded_batches, lean, stored, tasks_of
 from bitweave.llm.components import components
 
 N, SIMILARITY, RECALL = 5, 0.8, 0.9999
@@ -108,7 +108,7 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, bands), pa.int32()), pa.array(found.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(full)), pa.array(prints[0][full].view(np.int64)), pa.array(prints[1][full].view(np.int64)), lists], names=["id", "node", "check", "bands"])
 
-    return docs.mapInArrow(run, f"id {kind}, node long, check long, bands array<long>")
+    return docs.mapInArrow(lean(run), f"id {kind}, node long, check long, bands array<long>")
 
 
 def linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, similarity: float) -> np.ndarray:
@@ -244,9 +244,9 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if out:
             yield from rows_out()
 
-    blocks = texts.mapInArrow(spread, "component long, i int, j int, block int, node long, codes binary")
+    blocks = texts.mapInArrow(lean(spread), "component long, i int, j int, block int, node long, codes binary")
     dealt = blocks.repartition(tasks, "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    links = stored(dealt.mapInArrow(verify, "u long, v long, links long"), "links")
+    links = stored(dealt.mapInArrow(lean(verify), "u long, v long, links long"), "links")
 
     degree = links.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("n_links"))
     groups = components(links.where("v is not null").select("u", "v"))
@@ -266,5 +266,5 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             keep = np.flatnonzero(bare | ids.is_null().to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep))], names=["id"])
 
-    alone = docs.mapInArrow(wordless, f"id {kind}").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies"))
+    alone = docs.mapInArrow(lean(wordless), f"id {kind}").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies"))
     return worded.unionAll(alone).withColumnRenamed("id", id_col)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bitweave.llm.common import bounded_batches
+from bitweave.llm.common import bounded_batches, lean
 
 #: Hashed features, and the lengths of n-grams.
 BITS, ORDERS = 15, (1, 2, 3)
@@ -123,7 +123,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), pa.array(np.append(n[found], total))], names=["k", "n"])
 
     # at most one row for each feature
-    counts = docs.select("text").mapInArrow(frequencies, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    counts = docs.select("text").mapInArrow(lean(frequencies), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros((1 << BITS) + 1, dtype=np.int64)
     df[counts["k"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
@@ -143,7 +143,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             found = [term_counts(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([f[0].astype("<i4").tobytes() for f in found], pa.binary()), pa.array([tf_idf(*f, idf).astype("<f4").tobytes() for f in found], pa.binary()), batch.column(1), batch.column(2)], names=["at", "x", "lang", "h"])
 
-    sample = docs.join(F.broadcast(most), "lang").where("h <= most").select("text", "lang", "h").mapInArrow(features, "at binary, x binary, lang string, h long")
+    sample = docs.join(F.broadcast(most), "lang").where("h <= most").select("text", "lang", "h").mapInArrow(lean(features), "at binary, x binary, lang string, h long")
     # at most per_label documents of each label, but for equal hashes of equal rows
     rows = sorted(sample.toPandas().itertuples(index=False), key=lambda r: (r.h, r.lang))
     kept: dict[tuple, tuple] = {(r.h, r.lang): (np.frombuffer(r.at, "<i4"), np.frombuffer(r.x, "<f4").astype(float), labels.index(r.lang)) for r in rows}
@@ -181,4 +181,4 @@ def identify(docs: DataFrame, model: dict, *, text_col: str = "text", lang_out:
                 score[i] = min(1.0, p[k])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label, pa.string()), pa.array(score)], names=[*kept, lang_out, score_out])
 
-    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())]))
+    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(lean(run), T.StructType([*(docs.schema[c] for c in kept), T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())]))

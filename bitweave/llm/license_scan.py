@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bitweave.llm import textcodes as tc
-from bitweave.llm.common import bounded_batches
+from bitweave.llm.common import bounded_batches, lean
 
 #: Phrases of whole words, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -203,4 +203,4 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phr
     docs = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     strings = T.ArrayType(T.StringType())
     fields = [("n_words", T.LongType()), ("n_base", T.LongType()), ("first_word", T.LongType()), ("last_word", T.LongType()), ("base_labels", strings), ("labels", strings), ("spans", T.ArrayType(SPAN)), ("score", T.DoubleType())]
-    return docs.mapInArrow(run, T.StructType([docs.schema[0], *(T.StructField(*f) for f in fields)]))
+    return docs.mapInArrow(lean(run), T.StructType([docs.schema[0], *(T.StructField(*f) for f in fields)]))

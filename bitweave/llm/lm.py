@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitweave.llm import textcodes as tc
-from bitweave.llm.common import bounded_batches, open_fs, scratch, tasks_of
+from bitweave.llm.common import bounded_batches, lean, open_fs, scratch, tasks_of
 
 #: Tokens of a requester; texts are never split, so one very long text may exceed it.
 STRETCH = 2_000_000
@@ -290,8 +290,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
                 run.append(r)
         yield from flush()
 
-    asked = read.mapInArrow(ask, "bucket int, part long, number int, n_order int, keys binary, every binary, held binary")
-    answers = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "n_order").mapInArrow(answer, "part long, number int, n_order int, bucket int, every binary, held binary")
+    asked = read.mapInArrow(lean(ask), "bucket int, part long, number int, n_order int, keys binary, every binary, held binary")
+    answers = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "n_order").mapInArrow(lean(answer), "part long, number int, n_order int, bucket int, every binary, held binary")
     # a stretch's answers go together; the totals, a row of each bucket, are spread by it
     dealt = answers.repartition(buckets, F.coalesce("part", F.xxhash64("bucket")), "number").sortWithinPartitions("part")
     dealt.write.partitionBy("part").parquet(f"{folder}/counts")
@@ -319,7 +319,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], names=["bin", "n"])
 
     # the number of bins is bounded, whatever the corpus
-    bins = read.mapInArrow(tuned, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+    bins = read.mapInArrow(lean(tuned), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
     weights = learn_weights(bins["bin"].to_numpy(np.int64), bins["n"].to_numpy(np.int64))
 
     def scored(batches):
@@ -335,7 +335,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
 
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    return read.mapInArrow(scored, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return read.mapInArrow(lean(scored), f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def perplexity(log10_probability: float, tokens: int) -> float:

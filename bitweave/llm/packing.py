@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitweave.llm import tokens
-from bitweave.llm.common import bounded_batches, stored
+from bitweave.llm.common import bounded_batches, lean, stored
 
 CAPACITY = 1024
 #: Numbers of exact fills, evenly spaced, at which the plan is weighed.
@@ -196,7 +196,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
             ids = batch.column(0).take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.full(len(row), part)), pa.array(rank, pa.int64())], names=["id", "piece", "start", "length", "ids_crc32", "part", "rank"])
 
-    pieces = stored(docs.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long, part long, rank long"), "pieces")
+    pieces = stored(docs.mapInArrow(lean(cut), f"id {kind}, piece int, start long, length long, ids_crc32 long, part long, rank long"), "pieces")
     return place(pieces, capacity).withColumnRenamed("id", id_col)
 
 
@@ -216,4 +216,4 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     numbered = pieces.join(before.hint("merge"), ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("at"))
     kind = pieces.schema["id"].dataType.simpleString()
-    return numbered.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return numbered.mapInArrow(lean(run), f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

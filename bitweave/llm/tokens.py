@@ -27,7 +27,7 @@ import pyarrow as pa
 from bitweave.llm import textcodes as tc
 
 #: Pieces and bytes of pieces that a worker keeps at most, about; then it starts again.
-KEEP, KEEP_BYTES, RECENT = 1_500_000, 1 << 25, 100_000
+KEEP, KEEP_BYTES, RECENT = 600_000, 1 << 24, 100_000
 _HEAD = "\x01"
 #: Pieces of letters and a run of marks, which are two words of their own to the tokenizer.
 _PLAIN = re.compile(r"^(\x01?)([^\W\d_]+)([.,;:!?)]*)$", re.M)
@@ -261,7 +261,7 @@ def encoder(spec: str) -> Encoder:
     return _made[key]
 
 
-def encoded(texts: pa.Array, spec: str, end_id: int | None, size: int = 1 << 20):
+def encoded(texts: pa.Array, spec: str, end_id: int | None, size: int = 1 << 19):
     """Yield the ids of each text of a string array with the end id, about size bytes at a time; null is empty."""
     end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
     codec = encoder(spec)

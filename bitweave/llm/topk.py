@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitweave.llm.common import open_fs, scratch, stored, tasks_of
+from bitweave.llm.common import lean, open_fs, scratch, stored, tasks_of
 
 #: Candidates scored at a time, queries that a block holds about, and candidates in a file at most.
 CANDIDATES, QUERIES, FILE_ROWS = 1024, 2048, 1 << 18
@@ -111,7 +111,7 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     dealt.repartition(blocks, "block").write.partitionBy("block").parquet(f"{folder}/queries")
     files = rows.select(F.input_file_name().alias("file")).distinct()
     cells = files.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = cells.repartition(max(tasks_of(spark), blocks)).mapInArrow(_searcher(folder, k), "query_id long, vec_id long, score long")
+    found = cells.repartition(max(tasks_of(spark), blocks)).mapInArrow(lean(_searcher(folder, k)), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

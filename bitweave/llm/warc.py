@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitweave.llm.common import FileWriter, bounded_batches, open_fs, put_file, scratch, stored, tasks_of
+from bitweave.llm.common import FileWriter, bounded_batches, lean, open_fs, put_file, scratch, stored, tasks_of
 
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAME = "urn:bitweave:capture:"
@@ -169,7 +169,7 @@ def write_archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
             part = captures[k : k + 20_000]
             yield pa.RecordBatch.from_arrays([pa.array([task] * len(part), pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*part, strict=True), _TYPES, strict=True))], names=["run", *_NAMES])
 
-    runs = stored(joined.mapInArrow(write, f"run long, {CAPTURE}"), "runs")
+    runs = stored(joined.mapInArrow(lean(write), f"run long, {CAPTURE}"), "runs")
     return {"path": path, "index": merge_runs(runs, path)}
 
 
@@ -259,8 +259,8 @@ def merge_runs(runs: DataFrame, path: str) -> DataFrame:
         if own:
             yield from merged(current, own)
 
-    pieces = runs.select("run", *_NAMES).mapInArrow(deal, "range int, piece binary")
-    return stored(pieces.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(merge, f"range int, place long, {CAPTURE}"), "cdx")
+    pieces = runs.select("run", *_NAMES).mapInArrow(lean(deal), "range int, piece binary")
+    return stored(pieces.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(lean(merge), f"range int, place long, {CAPTURE}"), "cdx")
 
 
 def read_archive(archive: dict) -> DataFrame:
@@ -287,7 +287,7 @@ def read_archive(archive: dict) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], names=names)
 
     dealt = index.select(*_NAMES).repartition(tasks_of(index.sparkSession), "file").sortWithinPartitions("file", "offset")
-    return dealt.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, urlkey string, time string, file string, offset long")
+    return dealt.mapInArrow(lean(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, urlkey string, time string, file string, offset long")
 
 
 WARC_SQL = """

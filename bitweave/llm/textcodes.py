@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _P = 0x9E3779B97F4A7C15
 #: Places in a word whose values are kept in a table.
 _PLACES = 64

@@ -261,7 +261,7 @@ def encoder(spec: str) -> Encoder:
     return _made[key]
 
 
-def encoded(texts: pa.Array, spec: str, end_id: int | None, size: int = 1 << 19):
+def encoded(texts: pa.Array, spec: str, end_id: int | None, size: int = 1 << 18):
     """Yield the ids of each text of a string array with the end id, about size bytes at a time; null is empty."""
     end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
     codec = encoder(spec)

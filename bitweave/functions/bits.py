@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,21 +68,6 @@ def bits_of(x: Column, n: Column | int) -> Column:
     return F.when(n <= 0, F.lit("")).otherwise(F.substring(raw, (65 - n).cast("int"), n.cast("int")))
 
 
-def pad_to_word(bits: Column, word: int) -> Column:
-    """Zeros appended up to whole words."""
-    return F.rpad(bits, (F.ceil(F.length(bits) / word) * word).cast("int"), "0")
-
-
-def packed(bits: Column) -> Column:
-    """A string of bits, whole bytes of it, as binary. Built-in functions would take a substring for every few bits."""
-
-    @F.pandas_udf("binary")
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda s: int("1" + s, 2).to_bytes(len(s) // 8 + 1, "big")[1:])
-
-    return run(bits)
-
-
 def folded_difference(value: Column, previous: Column, low: Column, high: Column) -> Column:
     """The difference to the previous value, as a number from 0 on.
 

@@ -52,9 +52,9 @@ def cut(blocks_: DataFrame, size: int) -> DataFrame:
 def quantisation(bdepth_dc: Column, bdepth_ac: Column, weight: int) -> Column:
     """How many low bits of DC are coded by planes, from both depths."""
     half = F.floor(bdepth_ac / 2).cast("int") + 1
-    near = F.when(bdepth_dc - half <= 1, bdepth_dc - 3).otherwise(half)
-    far = F.when(bdepth_dc - near > 10, bdepth_dc - 10).otherwise(near)
-    return F.greatest(F.when(bdepth_dc <= 3, 0).otherwise(far), F.lit(weight)).cast("int")
+    left = bdepth_dc - half
+    q = F.when(bdepth_dc <= 3, 0).when(left <= 1, bdepth_dc - 3).when(left > 10, bdepth_dc - 10).otherwise(half)
+    return F.greatest(q, F.lit(weight)).cast("int")
 
 
 def block_depths(segmented: DataFrame) -> DataFrame:

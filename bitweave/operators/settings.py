@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,24 +16,32 @@ def deduplicated(settings: DataFrame, key: str = "from_segment") -> DataFrame:
     return settings.dropDuplicates().withColumn("__before", F.lag(row).over(w)).where(F.col("__before").isNull() | ~row.eqNullSafe(F.col("__before"))).drop("__before")
 
 
-def as_of(segments: DataFrame, settings: DataFrame, segment: str = "segment_id", key: str = "from_segment", most: int = 100_000) -> DataFrame:
+def held_at(at: Column, spans: Sequence[tuple], schema: str) -> Column:
+    """The last of a few spans (tuples in order of their first field) that begins at or before a place; null before all."""
+    fields = [f.split(" ") for f in schema.split(", ")]
+    row = lambda span: F.struct(*(F.lit(v).cast(kind).alias(name) for (name, kind), v in zip(fields, span, strict=True)))
+    out = F.when(at >= spans[-1][0], row(spans[-1]))
+    for span in reversed(spans[:-1]):
+        out = out.when(at >= span[0], row(span))
+    return out
+
+
+def as_of(segments: DataFrame, settings: DataFrame, segment: str = "segment_id", key: str = "from_segment", bucket: int = 1 << 16) -> DataFrame:
     """Each segment with the settings that hold for it, and whether they begin there (strict).
 
-    Segments before the first settings get nulls. The settings are intervals up
-    to the next row; they are broadcast if they are few, else both sides are
-    put in order together.
+    Segments before the first settings get nulls. Both sides are dealt to
+    buckets of consecutive segments and put in order together, with the last
+    settings before each bucket carried into it; nothing is compared with more
+    than its own bucket.
     """
     values = [c for c in settings.columns if c != key]
-    if settings.limit(most + 1).count() <= most:
-        spans = settings.withColumn("__until", F.lead(key).over(Window.orderBy(key)))
-        inside = (F.col(segment) >= F.col(key)) & (F.col("__until").isNull() | (F.col(segment) < F.col("__until")))
-        return segments.join(F.broadcast(spans), inside, "left").withColumn("strict", F.coalesce(F.col(segment) == F.col(key), F.lit(False))).drop("__until")
-    # beyond that: buckets of segments, with the last settings before each bucket carried into it
-    wide = 1 << 16
-    last = settings.groupBy(F.expr(f"{key} div {wide}").alias("__k")).agg(F.max_by(F.struct(key, *values), key).alias("__last"))
-    carried = last.withColumn("__upto", F.lead("__k").over(Window.orderBy("__k"))).select(F.explode(F.sequence(F.col("__k") + 1, F.coalesce("__upto", F.col("__k") + 1))).alias("__k"), "__last.*")
-    every = settings.withColumn("__k", F.expr(f"{key} div {wide}")).unionByName(carried.select(*settings.columns, "__k")).withColumn("__set", F.struct(key, *values))
-    both = segments.withColumn("__k", F.expr(f"{segment} div {wide}")).withColumn("__at", F.col(segment)).unionByName(every.select("__k", F.col(key).alias("__at"), "__set"), allowMissingColumns=True)
+    last = settings.groupBy(F.expr(f"{key} div {bucket}").alias("__k")).agg(F.max_by(F.struct(key, *values), key).alias("__last"))
+    used = segments.select(F.expr(f"{segment} div {bucket}").alias("__k")).distinct()
+    # one row for each bucket of segments or settings
+    order = Window.orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.join(used, "__k", "full").withColumn("__last", F.last("__last", ignorenulls=True).over(order)).where("__last is not null").select("__k", "__last.*")
+    every = settings.withColumn("__k", F.expr(f"{key} div {bucket}")).unionByName(carried.select(*settings.columns, "__k")).withColumn("__set", F.struct(key, *values))
+    both = segments.withColumn("__k", F.expr(f"{segment} div {bucket}")).withColumn("__at", F.col(segment)).unionByName(every.select("__k", F.col(key).alias("__at"), "__set"), allowMissingColumns=True)
     w = Window.partitionBy("__k").orderBy("__at", F.col("__set").isNull())
     filled = both.withColumn("__set", F.last("__set", ignorenulls=True).over(w)).where(F.col(segment).isNotNull())
     return filled.select(*segments.columns, "__set.*").withColumn("strict", F.coalesce(F.col(segment) == F.col(key), F.lit(False)))

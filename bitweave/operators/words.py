@@ -31,7 +31,7 @@ _GRAND = [sum(g, []) for g in _GROUPS]
 _SUBBAND = np.array([T.place(i)[0] for i in range(T.BLOCK)])
 
 
-def _folded(asked: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def folded(asked: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(length, value) of the asked bits of each row, the first column on top."""
     value = np.zeros(len(asked), dtype=np.int64)
     for k in range(asked.shape[1]):
@@ -48,8 +48,8 @@ def plane_words(content: np.ndarray, plane: int, weights: Sequence[int]):
 
     def types(stage: int, seq: int, kind: str, group: Sequence[int], none: np.ndarray | None):
         asked = free[:, group] if none is None else free[:, group] & ~none[:, None]
-        yield stage, seq, kind, *_folded(asked, now[:, group])
-        yield stage, seq + 1, "signs", *_folded(asked & now[:, group], negative[:, group])
+        yield stage, seq, kind, *folded(asked, now[:, group])
+        yield stage, seq + 1, "signs", *folded(asked & now[:, group], negative[:, group])
 
     def flags(groups: list[list[int]], above_none: list[np.ndarray] | None):
         """(word, which groups end the descent): a flag is sent if nothing of its group was significant before."""
@@ -60,7 +60,7 @@ def plane_words(content: np.ndarray, plane: int, weights: Sequence[int]):
         ends = sent & ~some
         if above_none is not None:
             ends |= np.stack(above_none, axis=1)
-        return _folded(sent, some), [ends[:, k] for k in range(len(groups))]
+        return folded(sent, some), [ends[:, k] for k in range(len(groups))]
 
     yield from types(1, 0, "types_P", [1, 2, 3], None)
     word, (none,) = flags([list(range(4, T.BLOCK))], None)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterable, Sequence
+from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitweave.functions import bits as B
 from bitweave.functions import tables as T
 from bitweave.operators import decode, entropy, protocol, segments, settings, tiles
+from bitweave.operators.protocol import HeaderError
 from bitweave.sources import raster
 from bitweave.sources.scratch import stored
 
@@ -39,6 +40,8 @@ class Settings:
     stop_stage: int = 4
     compat: bool = False
     dwt: str = "integer"
+    protocol: str = "file"
+    parts: Sequence[str] = entropy.PARTS
 
     def problems(self) -> tuple[list[str], list[str]]:
         """(errors, warnings)."""
@@ -50,6 +53,8 @@ class Settings:
             (protocol.HEADER <= self.byte_limit <= 1 << 27, f"the byte limit is {protocol.HEADER} to {1 << 27}"),
             (0 <= self.stop_plane < 32 and 0 <= self.stop_stage <= 4, "the stop plane is 0 to 31 and the stop stage 0 to 4"),
             (self.dwt == "integer", "only the integer wavelet is there"),
+            (self.protocol in ("file", "memory"), "the protocol is file or memory"),
+            (set(self.parts) <= set(entropy.PARTS), f"the parts of a stream are {', '.join(entropy.PARTS)}"),
         )
         errors += [text for holds, text in rules if not holds]
         if self.dc_only and (self.stop_plane or self.stop_stage != 4):
@@ -63,6 +68,52 @@ class Settings:
             raise InvalidSettings("; ".join(errors))
         return self
 
+    def rules(self) -> entropy.Rules:
+        return entropy.Rules(self.heuristic_dc, self.heuristic_ac, self.compat, self.stop_plane, self.stop_stage, self.dc_only, tuple(self.parts))
+
+
+#: Settings that may change from a segment on, and segments at which they may.
+BY_SEGMENT = ("segment_size", "heuristic_dc", "heuristic_ac", "byte_limit", "use_fill", "dc_only", "stop_plane", "stop_stage")
+MOST_CHANGES = 1000
+
+
+class Timeline:
+    """Settings by segment: each change holds from its segment on, and leaves as they are the settings that it doesn't name."""
+
+    def __init__(self, options: Settings, changes: Iterable[tuple[int, dict]] | DataFrame = ()) -> None:
+        if isinstance(changes, DataFrame):
+            rows = changes.orderBy("from_segment").limit(MOST_CHANGES + 1).collect()
+            changes = [(r["from_segment"], {k: v for k, v in r.asDict().items() if k != "from_segment" and v is not None}) for r in rows]
+        changes = sorted(changes, key=lambda c: c[0])
+        wrong = sorted({k for _, c in changes for k in c} - set(BY_SEGMENT))
+        if wrong or len(changes) > MOST_CHANGES or any(i < 0 for i, _ in changes):
+            raise InvalidSettings(f"{', '.join(wrong)} can't change by segment" if wrong else f"settings change at 0 to {MOST_CHANGES} segments from 0 on")
+        held, block = [(0, 0, options.checked())], 0
+        for i, change in changes:
+            last, begin, before = held[-1]
+            block, own = begin + (i - last) * before.segment_size, replace(before, **change).checked()
+            if own != before:  # settings that repeat those before them are no change
+                held = [*(held if i > last else held[:-1]), (i, block, own)]
+        self.spans = held
+
+    def at(self, number: int) -> Settings:
+        from bisect import bisect_right
+
+        return self.spans[bisect_right([i for i, _, _ in self.spans], number) - 1][2]
+
+    def segment_of(self, block: Column) -> Column:
+        """(segment_id, b, whether) of a block's number, as a struct of segment_id and b."""
+        span = settings.held_at(block, [(begin, i, s.segment_size) for i, begin, s in self.spans], "block bigint, first bigint, size bigint")
+        inside = block - span["block"]
+        return F.struct((span["first"] + F.floor(inside / span["size"])).cast("bigint").alias("segment_id"), (inside % span["size"]).alias("b"))
+
+    def columns(self, segment: Column) -> dict[str, Column]:
+        """Each setting of a segment, and whether settings begin there (strict)."""
+        kinds = {"segment_size": "bigint", "byte_limit": "bigint", "stop_plane": "int", "stop_stage": "int"}
+        schema = ", ".join(["from_segment bigint", *(f"{k} {kinds.get(k, 'boolean')}" for k in BY_SEGMENT)])
+        span = settings.held_at(segment, [(i, *(asdict(s)[k] for k in BY_SEGMENT)) for i, _, s in self.spans], schema)
+        return {k: span[k] for k in BY_SEGMENT} | {"strict": span["from_segment"] == segment}
+
 
 def check_images(meta: DataFrame) -> DataFrame:
     """meta, with an error for sides that the format can't hold."""
@@ -70,70 +121,104 @@ def check_images(meta: DataFrame) -> DataFrame:
     return meta.withColumn("width", F.when(fine, F.col("width")).otherwise(F.raise_error(F.concat(F.lit("image sides out of range: "), F.col("image_id"))).cast("bigint")))
 
 
+def blocks_of(pixels: DataFrame, weights: Sequence[int] = T.WEIGHTS, meta: DataFrame | None = None) -> DataFrame:
+    """Pixels to blocks of coefficients: padding, wavelet and gathering in one shuffle."""
+    meta = raster.meta(pixels) if meta is None else meta
+    return tiles.to_blocks(raster.padded(pixels, meta), meta, weights)
+
+
 def segmented(pixels: DataFrame, size: int, weights: Sequence[int] = T.WEIGHTS, meta: DataFrame | None = None) -> DataFrame:
-    """Pixels to segments of blocks: padding, wavelet and gathering in one shuffle.
+    """Pixels to segments of blocks, stored, for plans that read them more than once."""
+    return segments.cut(stored(blocks_of(pixels, weights, meta), "blocks"), size)
 
-    The blocks are stored, because statistics, differences and words all start from them.
-    """
-    meta = raster.meta(pixels) if meta is None else meta
-    return segments.cut(stored(tiles.to_blocks(raster.padded(pixels), meta, weights), "blocks"), size)
 
+def stages(pixels: DataFrame, options: Settings = Settings(), by_segment: Iterable[tuple[int, dict]] | DataFrame = ()) -> dict[str, DataFrame]:  # noqa: B008
+    """The steps from pixels to files, each a DataFrame that hasn't run: pixels, meta, blocks, segments, bits, files.
 
-def compress(pixels: DataFrame, options: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """Images to segment files: image_id, z, segment_id, size, content, n_bytes."""
-    s = options.checked()
+    by_segment: settings that change with segments, as pairs of a segment's
+    number and a dict of settings (of BY_SEGMENT), or a table of from_segment
+    and such columns, with nulls for what stays.
+    """
+    times = Timeline(options, by_segment)
+    s = options
     if s.transpose:
         pixels = raster.transposed(pixels)
-    meta = check_images(raster.meta(pixels))
-    cut = segmented(pixels, s.segment_size, s.weights, meta)
-    coded = entropy.segment_bits(cut, s.weights, heuristic_dc=s.heuristic_dc, heuristic_ac=s.heuristic_ac, compat=s.compat, stop_plane=s.stop_plane, stop_stage=s.stop_stage, dc_only=s.dc_only)
-    rows = coded.join(meta, "image_id")
-    total = F.ceil(F.expr("padded_width div 8 * (padded_height div 8)") / s.segment_size)
-    last = F.col("segment_id") == total - 1
-    fixed = {"byte_limit": s.byte_limit % (1 << 27), "dc_stop": s.dc_only, "plane_stop": s.stop_plane, "stage_stop": min(s.stop_stage, 3), "use_fill": s.use_fill, "heuristic_dc": s.heuristic_dc, "heuristic_ac": s.heuristic_ac, "signed": s.signed, "transpose": s.transpose}
-    rows = rows.withColumns({k: F.lit(v) for k, v in fixed.items()} | {"first": F.col("segment_id") == 0, "last": last, "pixel_depth": F.col("bdepth")})
+    meta = stored(check_images(raster.meta(pixels)), "meta")  # one row for each image, read by several steps
+    blocks = blocks_of(pixels, s.weights, meta)
+    cut = blocks.withColumn("__at", times.segment_of(F.col("blk"))).select("image_id", "z", "__at.*", "content").withColumn("gaggle", F.expr(f"b div {T.GAGGLE}"))
+    coded = entropy.segment_bits(cut, s.weights, lambda number: times.at(number).rules())
+    rows = coded.join(meta, "image_id").withColumns(times.columns(F.col("segment_id")))
+    total = F.expr("padded_width div 8 * (padded_height div 8)")
+    rows = rows.withColumn("last", F.col("segment_id") == times.segment_of(total - 1)["segment_id"]).withColumn("first", F.col("segment_id") == 0)
+    limit = F.col("byte_limit")
+    rows = rows.withColumns({"dc_stop": F.col("dc_only"), "plane_stop": F.col("stop_plane"), "stage_stop": F.least("stop_stage", F.lit(3)), "signed": F.lit(s.signed), "transpose": F.lit(s.transpose), "pixel_depth": F.col("bdepth")})
     # every channel's first segment repeats the settings, so channels can be restored one by one
-    rows = rows.withColumns({"first_of_image": F.col("first"), "with_settings": F.col("first"), "with_size": last & (F.col("size") != s.segment_size)})
-    rows = rows.withColumn("headers", protocol.header_bits(codeword=s.codeword, weights=s.weights))
-    rows = rows.withColumn("data", B.pad_to_word(F.col("bits"), s.codeword)).withColumn("room", (F.lit(s.byte_limit * 8) - F.length("headers")).cast("int"))
-    cut_off = F.when(F.length("data") > F.col("room"), F.substring("data", F.lit(1), F.col("room"))).otherwise(F.rpad("data", F.col("room"), "0") if s.use_fill else F.col("data"))
-    out = rows.withColumn("data", cut_off).select("image_id", "z", "segment_id", "size", protocol.enveloped(F.col("headers"), F.col("data")).alias("content"))
-    return out.withColumn("n_bytes", F.length("content").cast("bigint"))
+    rows = rows.withColumns({"first_of_image": F.col("first"), "with_settings": F.col("first") | F.col("strict"), "with_size": F.col("last") & (F.col("size") != F.col("segment_size"))})
+    head = rows.withColumn("most", limit.cast("bigint")).withColumn("byte_limit", limit % (1 << 27))
+    head = head.withColumn("headers", protocol.header_bits(codeword=s.codeword, weights=s.weights))
+    out = protocol.assembled(head, s.codeword, s.protocol).withColumn("n_bytes", F.length("content").cast("bigint"))
+    return {"pixels": pixels, "meta": meta, "blocks": blocks, "segments": cut, "bits": coded, "files": out}
+
 
+def compress(pixels: DataFrame, options: Settings = Settings(), by_segment: Iterable[tuple[int, dict]] | DataFrame = ()) -> DataFrame:  # noqa: B008
+    """Images to segment files: image_id, z, segment_id, size, content, n_bytes; see stages for by_segment."""
+    return stages(pixels, options, by_segment)["files"]
 
-def scanned(files: DataFrame) -> DataFrame:
-    """Headers of segment files with the settings that hold for each segment.
+
+def scanned(files: DataFrame, protocol_: str = "file") -> DataFrame:
+    """Headers of segment files with the settings that hold for each segment, and the number of its first block (start).
 
     files: image_id, z, segment_id, content. Settings are carried forward from
-    the segment that sent them, within a channel.
+    the segment that sent them, within a channel. A missing segment counts
+    with the size that held before it.
     """
-    from pyspark.sql import Window
-
-    rows = protocol.parsed(files)
+    rows = protocol.parsed(files, protocol=protocol_)
     w = Window.partitionBy("image_id", "z").orderBy("segment_id")
     # the last segment's own size holds for it alone
     carried = [c for p in ("2", "3", "4") for c, _ in protocol.PARTS[p] if c != "spare"]
     held = {c: F.last(c, ignorenulls=True).over(w) for c in dict.fromkeys(carried)}
     nominal = F.first("size", ignorenulls=True).over(w)
-    return rows.withColumn("nominal_size", nominal).withColumns(held).withColumn("width", F.first("width", ignorenulls=True).over(w))
-
-
-def restore(files: DataFrame, *, compat: bool = False, trim: bool = True) -> DataFrame:
-    """Segment files to pixels, channel by channel, in parallel over segments and then over tiles."""
-    rows = scanned(files)
+    out = rows.withColumn("nominal_size", nominal).withColumns(held).withColumn("width", F.first("width", ignorenulls=True).over(w))
+    # a size field of 0 stands for 2**20 blocks
+    out = out.withColumn("size", F.when(F.col("size") == 0, F.lit(MOST_SEGMENT)).otherwise(F.col("size")))
+    step = F.coalesce(F.lag("size").over(w) * (F.col("segment_id") - F.lag("segment_id").over(w)), F.col("segment_id") * F.col("size"))
+    return out.withColumn("__step", step).withColumn("start", F.sum("__step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__step")
+
+
+def restore(files: DataFrame, *, compat: bool = False, trim: bool = True, strict: bool = False, protocol_: str = "file", transpose: bool | None = None, byte_limit: int | None = None, stop_plane: int = 0, stop_stage: int = 4, dc_only: bool = False, parts: Sequence[str] = entropy.PARTS) -> DataFrame:
+    """Segment files to pixels, channel by channel, in parallel over segments and then over tiles.
+
+    Files that aren't segments (protocol.problems: marker, version) are left
+    out; blocks of segments that are missing are zeros next to others, and
+    absent where a whole tile is missing. strict makes any problem a
+    HeaderError before anything is decoded. transpose overrides what the
+    headers say. byte_limit, stop_plane, stop_stage and dc_only end the reading
+    of each segment early; parts are those that its stream has.
+    """
+    heads = protocol.parsed(files, protocol=protocol_)
+    if strict and (found := protocol.problems(heads).limit(10).collect()):
+        raise HeaderError("; ".join(f"{r.image_id} channel {r.z} segment {r.segment_id}: {r.problem}" for r in found))
+    if protocol_ == "file":
+        files = heads.where((F.col("marker") == protocol.MARKER) & (F.col("header_end") == protocol.HEADER)).select(*files.columns)
+    rows = scanned(files, protocol_)
     weights = F.when(F.col("custom") == 1, F.array(*(F.col(f"weight{k}").cast("int") for k in range(10)))).otherwise(F.array(*(F.lit(w) for w in T.WEIGHTS)))
-    rows = rows.withColumn("weights", weights)
-    whole = rows.select("image_id", "z", "segment_id", "size", "bdepth_dc", "bdepth_ac", "weights", F.expr(f"substring(content, {protocol.HEADER + 1})").alias("data"))
-    blocks = decode.decoded(whole, wide_dc=compat)
+    data = F.expr("substring(content, header_end + 1)")
+    if byte_limit is not None:
+        data = F.substring(data, F.lit(1), F.greatest(byte_limit - F.col("header_end") + (F.col("offset") if protocol_ == "file" else F.lit(0)), F.lit(0)).cast("int"))
+    rows = stored(rows.withColumn("weights", weights).withColumn("data", data).drop("content"), "scanned")
+    whole = rows.select("image_id", "z", "segment_id", "size", "bdepth_dc", "bdepth_ac", "weights", "data")
+    blocks = decode.decoded(whole, wide_dc=compat, stop_plane=stop_plane, stop_stage=stop_stage, dc_only=dc_only, parts=parts)
     # sizes follow from the width, the blocks and the padding that the last segment states
-    image = rows.groupBy("image_id", "z").agg(F.max("width").alias("width"), F.max("nominal_size").alias("nominal"), F.sum("size").alias("n"), F.max("pad_rows").alias("pad_rows"), F.max("transpose").alias("turned"), F.first("weights").alias("weights"))
-    image = image.withColumn("padded_width", (F.ceil(F.col("width") / 8) * 8).cast("bigint")).withColumn("padded_height", F.expr("n div (padded_width div 8) * 8"))
-    sizes = image.groupBy("image_id").agg(F.max("padded_width").alias("padded_width"), F.max("padded_height").alias("padded_height"), F.max("width").alias("width"), F.max("pad_rows").alias("pad_rows"), F.max("nominal").alias("nominal"), F.max("turned").alias("turned"), F.first("weights").alias("weights"))
-    placed = blocks.join(sizes.select("image_id", "nominal"), "image_id").select("image_id", "z", (F.col("segment_id") * F.col("nominal") + F.col("b")).alias("blk"), "content")
+    image = rows.groupBy("image_id", "z").agg(F.max("width").alias("width"), F.max(F.col("start") + F.col("size")).alias("n"), F.max("pad_rows").alias("pad_rows"), F.max("transpose").alias("turned"), F.first("weights").alias("weights"))
+    image = image.withColumn("padded_width", (F.ceil(F.col("width") / 8) * 8).cast("bigint")).withColumn("padded_height", F.expr("ceil(n / (padded_width div 8)) * 8"))
+    sizes = image.groupBy("image_id").agg(F.max("padded_width").alias("padded_width"), F.max("padded_height").alias("padded_height"), F.max("width").alias("width"), F.max("pad_rows").alias("pad_rows"), F.max("turned").alias("turned"), F.first("weights").alias("weights"))
+    sizes = stored(sizes, "sizes")  # one row for each image
+    placed = blocks.join(rows.select("image_id", "z", "segment_id", "start"), ["image_id", "z", "segment_id"]).select("image_id", "z", (F.col("start") + F.col("b")).alias("blk"), "content")
     pixels = tiles.to_pixels(placed, sizes)
+    turned = F.col("turned") == 1 if transpose is None else F.lit(transpose)
     if trim:
         limits = sizes.select("image_id", F.col("width").alias("__w"), (F.col("padded_height") - F.coalesce("pad_rows", F.lit(0))).alias("__h"), "turned")
-        pixels = pixels.join(limits, "image_id").where("x < __w and y < __h").select("image_id", "z", F.when(F.col("turned") == 1, F.col("x")).otherwise(F.col("y")).alias("y"), F.when(F.col("turned") == 1, F.col("y")).otherwise(F.col("x")).alias("x"), "v")
+        pixels = pixels.join(limits, "image_id").where("x < __w and y < __h").select("image_id", "z", F.when(turned, F.col("x")).otherwise(F.col("y")).alias("y"), F.when(turned, F.col("y")).otherwise(F.col("x")).alias("x"), "v")
     return pixels
 
 

@@ -199,12 +199,14 @@ def _q(ctes: str, select: str) -> str:
     return f"WITH {ctes}\n{select}"
 
 
-_BITS = "SELECT segment_id, CAST(length(bits) AS BIGINT) AS n_bits, md5(bits) AS digest FROM whole"
+#: Whole bytes of a string of bits.
+_BLOB = lambda bits, unit=8: f"unbin(rpad({bits}, CAST((length({bits}) + {unit - 1}) // {unit} * {unit} AS INTEGER), '0'))"
+_BITS = f"SELECT segment_id, CAST(length(bits) AS BIGINT) AS n_bits, md5({_BLOB('bits')}) AS digest FROM whole"
 _SET = "settings(from_segment, blocks, heuristic) AS (VALUES " + ", ".join(f"(CAST({a} AS BIGINT), {b}, {str(c).lower()})" for a, b, c in SETTINGS) + ")"
 _SHOWN = "SELECT segment_id, b, plane, stage, seq, bits FROM words WHERE "
 _HEAD = f"""{_bits()},
 img_size AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h, 1 + {_width('max(CASE WHEN v < 0 THEN -1 - v ELSE v END)')} AS depth FROM img),
-file AS (SELECT s.*, segment_id = 0 AS first, segment_id = (SELECT max(segment_id) FROM stats) AS last, (length(bits) + 63) // 64 * 8 AS data, i.* FROM stats s JOIN whole USING (segment_id), img_size i),
+file AS (SELECT s.*, segment_id = 0 AS first, segment_id = (SELECT max(segment_id) FROM stats) AS last, (length(bits) + 63) // 64 * 8 AS data, bits, i.* FROM stats s JOIN whole USING (segment_id), img_size i),
 head AS (SELECT *, CASE WHEN first THEN '1' ELSE '0' END || CASE WHEN last THEN '1' ELSE '0' END || {_plain('segment_id', '8')} || {_plain('bdepth_dc', '5')} || {_plain('bdepth_ac', '5')} || '0'
   || CASE WHEN first THEN '1' ELSE '0' END || CASE WHEN first OR last AND size <> {SIZE} THEN '1' ELSE '0' END || CASE WHEN first THEN '1' ELSE '0' END
   || CASE WHEN last THEN {_plain('(8 - h % 8) % 8', '3')} || '00000' ELSE '' END
@@ -254,7 +256,7 @@ ORACLES = {
     "vlc_length": _q(VLC, "SELECT segment_id, plane, stage, CAST(sum(length(bits)) AS BIGINT) AS bits FROM stream GROUP BY ALL"),
     "segment_bits": _q(_bits(), _BITS),
     "early_stop": _q(_bits("plane > 4 OR plane = 4 AND stage <= 1"), _BITS),
-    "segment_file": _q(_HEAD, f"SELECT segment_id, n_bytes, {_HEX} AS head FROM bytes"),
+    "segment_file": _q(_HEAD, f"SELECT segment_id, n_bytes, {_HEX} AS head, sha256(unbin(top || rpad(bits, CAST(data * 8 AS INTEGER), '0'))) AS digest FROM bytes"),
     "compressed_size": _q(_HEAD, "SELECT count(*) AS segments, CAST(sum(n_bytes) AS BIGINT) AS n_bytes FROM bytes"),
     "header_scan": _q(_HEAD, f"SELECT segment_id, CAST(94 AS BIGINT) AS marker, CAST(32 - length(headers) // 8 AS BIGINT) AS offset, CAST(first AS BIGINT) AS first, CAST(last AS BIGINT) AS last, CAST(bdepth_dc AS BIGINT) AS bdepth_dc, CAST(bdepth_ac AS BIGINT) AS bdepth_ac, size, w AS width, CASE WHEN last THEN CAST((8 - h % 8) % 8 AS BIGINT) END AS pad_rows FROM bytes"),
     "decode_roundtrip": _q(IMG, "SELECT y, x, v FROM img"),

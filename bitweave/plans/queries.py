@@ -31,8 +31,7 @@ def _padded(spark, sf_dir):
 
 
 def _blocks(spark, sf_dir, weights=T.WEIGHTS):
-    pixels = image(spark, sf_dir)
-    return tiles.to_blocks(raster.padded(pixels), raster.meta(pixels), weights)
+    return codec.blocks_of(image(spark, sf_dir), weights)
 
 
 def _cut(spark, sf_dir):
@@ -209,29 +208,25 @@ def additional_dc(spark, sf_dir):
     return words.additional_dc(cut, stats, (0,) * 10).select("segment_id", "b", "plane", "bit")
 
 
-def _options(spark, sf_dir):
-    return entropy.options(entropy.symbols(_words(spark, sf_dir)))
-
-
 def symbols(spark, sf_dir):
-    return entropy.symbols(_words(spark, sf_dir)).where("sym is not null").groupBy("segment_id", "plane", "len", "sym").agg(F.count("*").alias("n"))
+    return entropy.symbol_counts(_cut(spark, sf_dir)).select("segment_id", "plane", "len", "sym", "n")
 
 
 def vlc_option(spark, sf_dir):
-    return entropy.gaggle_options(_options(spark, sf_dir)).select("segment_id", "plane", "gaggle", "len", "option", "n", "bits")
+    return entropy.gaggle_options(_cut(spark, sf_dir)).select("segment_id", "plane", "gaggle", "len", "option", "n", "bits")
 
 
 def vlc_length(spark, sf_dir):
-    return entropy.coded_words(_options(spark, sf_dir)).groupBy("segment_id", "plane", "stage").agg(F.sum(F.length("bits")).alias("bits"))
+    return entropy.stage_lengths(_cut(spark, sf_dir)).select("segment_id", "plane", "stage", "bits")
 
 
 def segment_bits(spark, sf_dir):
-    return entropy.segment_bits(_cut_once(spark, sf_dir)).select("segment_id", F.length("bits").cast("bigint").alias("n_bits"), F.md5("bits").alias("digest"))
+    return entropy.segment_bits(_cut(spark, sf_dir)).select("segment_id", "n_bits", F.md5("bits").alias("digest"))
 
 
 def early_stop(spark, sf_dir):
     """Bits of streams that stop in plane 4 after the parents."""
-    return entropy.segment_bits(_cut_once(spark, sf_dir), stop_plane=4, stop_stage=1).select("segment_id", F.length("bits").cast("bigint").alias("n_bits"), F.md5("bits").alias("digest"))
+    return entropy.segment_bits(_cut(spark, sf_dir), rules=entropy.Rules(stop_plane=4, stop_stage=1)).select("segment_id", "n_bits", F.md5("bits").alias("digest"))
 
 
 def _files(spark, sf_dir):
@@ -239,7 +234,7 @@ def _files(spark, sf_dir):
 
 
 def segment_file(spark, sf_dir):
-    return _files(spark, sf_dir).select("segment_id", "n_bytes", F.hex(F.substring("content", 1, protocol.HEADER)).alias("head"))
+    return _files(spark, sf_dir).select("segment_id", "n_bytes", F.hex(F.substring("content", 1, protocol.HEADER)).alias("head"), F.sha2("content", 256).alias("digest"))
 
 
 def compressed_size(spark, sf_dir):

@@ -44,24 +44,23 @@ def meta(pixels: DataFrame) -> DataFrame:
     return seen.select("image_id", "width", "height", "channels", signed_depth(F.col("folded")).alias("bdepth"), up("width").alias("padded_width"), up("height").alias("padded_height"), (up("height") - F.col("height")).cast("int").alias("pad_rows"))
 
 
-def padded(pixels: DataFrame) -> DataFrame:
+def padded(pixels: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Repeat the last column and the last row up to the next multiple of eight.
 
     A pixel of the last column or row stands for itself and its copies, so the
-    padding needs no join of a grid, only the image's size.
+    padding needs no join of a grid, only the image's size: sizes, as of meta,
+    or else it is counted.
     """
-    size = pixels.groupBy("image_id").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
-    joined = pixels.join(F.broadcast(size) if _few(size) else size, "image_id")
+    if sizes is None:
+        size = pixels.groupBy("image_id").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
+    else:
+        size = sizes.select("image_id", (F.col("width") - 1).alias("mx"), (F.col("height") - 1).alias("my"))
+    joined = pixels.join(size, "image_id")
     until = lambda at, last: F.when(F.col(at) == F.col(last), (F.floor(F.col(last) / STEP) + 1) * STEP - 1).otherwise(F.col(at)).cast("bigint")
     xs = joined.withColumn("x", F.explode(F.sequence("x", until("x", "mx"))))
     return xs.withColumn("y", F.explode(F.sequence("y", until("y", "my")))).select(*PIXELS)
 
 
-def _few(sizes: DataFrame, most: int = 100_000) -> bool:
-    """Whether so few rows that they may be broadcast; beyond, the join shuffles."""
-    return sizes.limit(most + 1).count() <= most
-
-
 def transposed(pixels: DataFrame) -> DataFrame:
     return pixels.select("image_id", "z", F.col("x").alias("y"), F.col("y").alias("x"), "v")
 
@@ -82,7 +81,7 @@ def appended(top: DataFrame, bottom: DataFrame) -> DataFrame:
 def linear(pixels: DataFrame, start: int = 0, length: int | None = None) -> DataFrame:
     """Pixels with their row-major place, optionally a stretch of places."""
     width = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"))
-    out = pixels.join(F.broadcast(width) if _few(width) else width, "image_id").withColumn("lin", F.col("y") * F.col("w") + F.col("x"))
+    out = pixels.join(width, "image_id").withColumn("lin", F.col("y") * F.col("w") + F.col("x"))
     out = out.where(F.col("lin") >= start)
     return (out if length is None else out.where(F.col("lin") < start + length)).select("image_id", "z", "lin", "v")
 

@@ -18,6 +18,25 @@ def _range(low: int, high: int):
     return number
 
 
+def _change(text: str) -> tuple[int, dict]:
+    """SEGMENT:KEY=VALUE[,KEY=VALUE...]; a key alone is a flag."""
+    from bitweave.plans.codec import BY_SEGMENT
+
+    try:
+        segment, _, rest = text.partition(":")
+        pairs = [p.partition("=") for p in rest.split(",")]
+        out = int(segment, 0), {k: (v.lower() in ("1", "true", "yes") if k in FLAGS else int(v, 0)) if eq else True for k, eq, v in pairs}
+    except ValueError as e:
+        raise argparse.ArgumentTypeError(f"{text} is not SEGMENT:KEY=VALUE,...") from e
+    if unknown := [k for k in out[1] if k not in BY_SEGMENT]:
+        raise argparse.ArgumentTypeError(f"no setting {unknown[0]}; there are {', '.join(BY_SEGMENT)}")
+    return out
+
+
+#: Settings that are on or off.
+FLAGS = ("heuristic_dc", "heuristic_ac", "use_fill", "dc_only")
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="bitweave", description=__doc__)
     commands = top.add_subparsers(dest="command", required=True)
@@ -41,8 +60,19 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--stop-bitplane", type=_range(0, 31), default=0)
     c.add_argument("--stop-stage", type=_range(0, 4), default=4)
     c.add_argument("--stop-dc", action="store_true")
+    c.add_argument("--at", action="append", type=_change, default=[], metavar="SEGMENT:KEY=VALUE,...", help="settings that hold from a segment on")
+    c.add_argument("--protocol", choices=("file", "memory"), default="file", help="files with an envelope, or bare headers and data")
+    c.add_argument("--id", default=None, help="image id, in place of the table's")
     r = commands.add_parser("restore", help="segment files to pixels")
     r.add_argument("--path", required=True, help="folder or glob of segment files")
+    r.add_argument("--protocol", choices=("file", "memory"), default="file")
+    r.add_argument("--strict", action="store_true", help="stop at any problem of headers or sequence")
+    r.add_argument("--transpose", choices=("yes", "no"), default=None, help="in place of what the headers say")
+    r.add_argument("--limit", type=_range(8, 1 << 27), default=None, help="bytes of a segment to read")
+    r.add_argument("--stop-bitplane", type=_range(0, 31), default=0)
+    r.add_argument("--stop-stage", type=_range(0, 4), default=4)
+    r.add_argument("--stop-dc", action="store_true")
+    r.add_argument("--report", action="store_true", help="print the problems of headers and sequence")
     r.add_argument("--dst", required=True, help="Parquet table to write")
     return top
 
@@ -50,15 +80,21 @@ def parser() -> argparse.ArgumentParser:
 def main(arguments: list[str] | None = None) -> int:
     a = parser().parse_args(arguments)
     from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
 
+    from bitweave.operators import protocol
     from bitweave.plans import codec
-    from bitweave.sources import files, raster
+    from bitweave.sources import registry
 
     if a.command == "compress":
-        options = codec.Settings(segment_size=a.size, weights=tuple(a.shifts), heuristic_dc=a.heuristic_dc, heuristic_ac=a.heuristic_ac, signed=not a.unsigned, transpose=a.transpose, codeword=a.codeword, byte_limit=a.limit, use_fill=a.fill, dc_only=a.stop_dc, stop_plane=a.stop_bitplane, stop_stage=a.stop_stage, dwt=a.dwt)
+        options = codec.Settings(segment_size=a.size, weights=tuple(a.shifts), heuristic_dc=a.heuristic_dc, heuristic_ac=a.heuristic_ac, signed=not a.unsigned, transpose=a.transpose, codeword=a.codeword, byte_limit=a.limit, use_fill=a.fill, dc_only=a.stop_dc, stop_plane=a.stop_bitplane, stop_stage=a.stop_stage, dwt=a.dwt, protocol=a.protocol)
         errors, warnings = options.problems()
         if bool(a.pixels) == bool(a.generate):
             errors.append("exactly one of --pixels and --generate is needed")
+        try:
+            codec.Timeline(options, a.at) if not errors else None
+        except codec.InvalidSettings as e:
+            errors.append(str(e))
         for text in warnings:
             print(f"warning: {text}", file=sys.stderr)
         for text in errors:
@@ -66,12 +102,26 @@ def main(arguments: list[str] | None = None) -> int:
         if errors:
             return 2
         spark = SparkSession.builder.getOrCreate()
-        pixels = spark.read.parquet(a.pixels) if a.pixels else raster.generate(spark, *a.generate, channels=a.channels, bdepth=a.bdepth, signed=not a.unsigned, seed=a.seed)
-        total = files.write_segments(codec.compress(pixels, options), a.dst).selectExpr("count(*) as n", "sum(n_bytes) as b").collect()[0]
+        if a.pixels:
+            pixels = registry.read(spark, "table", path=a.pixels)
+        else:
+            pixels = registry.read(spark, "noise", width=a.generate[0], height=a.generate[1], channels=a.channels, bdepth=a.bdepth, signed=not a.unsigned, seed=a.seed)
+        if a.id is not None:
+            pixels = pixels.withColumn("image_id", F.lit(a.id))
+        total = registry.write(codec.compress(pixels, options, a.at), "segments", path=a.dst).selectExpr("count(*) as n", "sum(n_bytes) as b").collect()[0]
         print(f"{total.n} segments, {total.b} bytes")
         return 0
     spark = SparkSession.builder.getOrCreate()
-    codec.restore(files.read_segments(spark, a.path)).write.parquet(a.dst)
+    files = registry.read(spark, "segments", path=a.path)
+    if a.report:
+        for p in protocol.problems(protocol.parsed(files, protocol=a.protocol)).orderBy("image_id", "z", "segment_id", "problem").toLocalIterator():
+            print(f"{p.image_id} channel {p.z} segment {p.segment_id}: {p.problem}", file=sys.stderr)
+    try:
+        pixels = codec.restore(files, strict=a.strict, protocol_=a.protocol, transpose=None if a.transpose is None else a.transpose == "yes", byte_limit=a.limit, stop_plane=a.stop_bitplane, stop_stage=a.stop_stage, dc_only=a.stop_dc)
+    except protocol.HeaderError as e:
+        print(f"error: {e}", file=sys.stderr)
+        return 2
+    registry.write(pixels, "table", path=a.dst)
     return 0
 
 

@@ -262,16 +262,23 @@ class _Words:
                             self.types(b, "types_H", 16 + 16 * f + 4 * g)
 
 
-def decoded(segments: DataFrame, weights: Sequence[int] = T.WEIGHTS, wide_dc: bool = False, *, stop_plane: int = 0, stop_stage: int = 4, dc_only: bool = False, parts: Sequence[str] = PARTS) -> DataFrame:
+def decoded(segments: DataFrame, weights: Sequence[int] = T.WEIGHTS, wide_dc: bool = False, *, stop_plane: int = 0, stop_stage: int = 4, dc_only: bool = False, parts: Sequence[str] = PARTS, skip_broken: bool = False) -> DataFrame:
     """segments: the key, size, bdepth_dc, bdepth_ac and data (binary) to one row for each block: b and content.
 
     Segments are spread over all tasks, as decoding one takes long beside moving it.
+    A stream that can't be what an encoder wrote is a BrokenStream error; with
+    skip_broken it gives no blocks.
     """
 
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                blocks = decode_segment(r["data"], r["size"], r["bdepth_dc"], r["bdepth_ac"], r.get("weights") or weights, wide_dc, stop_plane=stop_plane, stop_stage=stop_stage, dc_only=dc_only, parts=parts)
+                try:
+                    blocks = decode_segment(r["data"], r["size"], r["bdepth_dc"], r["bdepth_ac"], r.get("weights") or weights, wide_dc, stop_plane=stop_plane, stop_stage=stop_stage, dc_only=dc_only, parts=parts)
+                except BrokenStream:
+                    if not skip_broken:
+                        raise
+                    continue
                 for i in range(0, len(blocks), 4096):
                     part = blocks[i : i + 4096]
                     n = len(part)

@@ -189,8 +189,10 @@ def restore(files: DataFrame, *, compat: bool = False, trim: bool = True, strict
     """Segment files to pixels, channel by channel, in parallel over segments and then over tiles.
 
     Files that aren't segments (protocol.problems: marker, version) are left
-    out; blocks of segments that are missing are zeros next to others, and
-    absent where a whole tile is missing. strict makes any problem a
+    out, and so are segments with a stream that no encoder writes; blocks of
+    segments that are missing are zeros next to others, and absent where a
+    whole tile is missing. Where a segment is lost that sent settings, those
+    behind it are read with the settings before, up to the next that sends some. strict makes any problem a
     HeaderError before anything is decoded. transpose overrides what the
     headers say. byte_limit, stop_plane, stop_stage and dc_only end the reading
     of each segment early; parts are those that its stream has.
@@ -207,7 +209,7 @@ def restore(files: DataFrame, *, compat: bool = False, trim: bool = True, strict
         data = F.substring(data, F.lit(1), F.greatest(byte_limit - F.col("header_end") + (F.col("offset") if protocol_ == "file" else F.lit(0)), F.lit(0)).cast("int"))
     rows = stored(rows.withColumn("weights", weights).withColumn("data", data).drop("content"), "scanned")
     whole = rows.select("image_id", "z", "segment_id", "size", "bdepth_dc", "bdepth_ac", "weights", "data")
-    blocks = decode.decoded(whole, wide_dc=compat, stop_plane=stop_plane, stop_stage=stop_stage, dc_only=dc_only, parts=parts)
+    blocks = decode.decoded(whole, wide_dc=compat, stop_plane=stop_plane, stop_stage=stop_stage, dc_only=dc_only, parts=parts, skip_broken=not strict)
     # sizes follow from the width, the blocks and the padding that the last segment states
     image = rows.groupBy("image_id", "z").agg(F.max("width").alias("width"), F.max(F.col("start") + F.col("size")).alias("n"), F.max("pad_rows").alias("pad_rows"), F.max("transpose").alias("turned"), F.first("weights").alias("weights"))
     image = image.withColumn("padded_width", (F.ceil(F.col("width") / 8) * 8).cast("bigint")).withColumn("padded_height", F.expr("ceil(n / (padded_width div 8)) * 8"))

@@ -6,8 +6,29 @@ table of places, and words from lists of coefficients instead of matrices.
 
 from __future__ import annotations
 
-from bitweave.functions import tables as T
-from bitweave.plans.queries import SETTINGS, SIZE, SLICE
+from bitweave.plans.queries import ACROSS, CHANGES, SETTINGS, SIZE, SLICE, WIDE
+
+# Fixed values, as the format defines them; written here on their own, so that a slip in the coder's tables shows.
+WEIGHTS = (3, 3, 3, 2, 2, 2, 1, 1, 1, 0)
+CODES = """codes AS (SELECT len, option, CAST(unnest(range(0, len(string_split(all_codes, ' ')))) AS INTEGER) AS sym, unnest(string_split(all_codes, ' ')) AS code FROM (VALUES
+  (2, 0, '1 01 001 000'),
+  (3, 0, '1 01 001 00000 00001 00010 000110 000111'),
+  (3, 1, '10 11 010 011 0010 0011 0000 0001'),
+  (4, 0, '1 01 001 0001 0000000 0000001 0000010 0000011 00001000 00001001 00001010 00001011 00001100 00001101 00001110 00001111'),
+  (4, 1, '10 11 010 011 0010 0011 000000 000001 000010 000011 000100 000101 0001100 0001101 0001110 0001111'),
+  (4, 2, '100 101 110 111 0100 0101 0110 0111 00100 00101 00110 00111 00000 00001 00010 00011')) t(len, option, all_codes))"""
+#: The words of each length and kind of word, in the order of their symbols.
+SYMBOLS = """symbols AS (SELECT len, map, unnest(string_split(all_words, ' ')) AS bits, CAST(unnest(range(0, len(string_split(all_words, ' ')))) AS INTEGER) AS sym FROM (VALUES
+  (2, 'any', '00 10 01 11'),
+  (3, 'any', '010 000 100 110 001 011 101 111'),
+  (3, 'tran_D', '010 100 110 001 011 101 111'),
+  (4, 'any', '1000 0001 0100 0010 1100 0101 0011 1010 1001 0110 0000 1110 0111 1011 1101 1111'),
+  (4, 'types_H', '1000 0001 0100 0010 1100 0101 0011 1010 1001 0110 1110 0111 1011 1101 1111'),
+  (4, 'tran_H', '1000 0001 0100 0010 1100 0101 0011 1010 1001 0110 1110 0111 1011 1101 1111')) t(len, map, all_words))"""
+#: Of each place in a block: subband, blocks' step in the subband, row and column in the step.
+PLACES = """places AS (SELECT i, CASE WHEN i < 4 THEN i WHEN i < 16 THEN 3 + i // 4 ELSE 6 + i // 16 END AS sb, CASE WHEN i < 4 THEN 1 WHEN i < 16 THEN 2 ELSE 4 END AS s,
+  CASE WHEN i < 4 THEN 0 WHEN i < 16 THEN i // 2 % 2 ELSE i // 8 % 2 * 2 + i // 2 % 2 END AS a, CASE WHEN i < 4 THEN 0 WHEN i < 16 THEN i % 2 ELSE i // 4 % 2 * 2 + i % 2 END AS b FROM (SELECT unnest(range(0, 64)) AS i))"""
+_SB = [k if k < 4 else 3 + k // 4 if k < 16 else 6 + k // 16 for k in range(64)]
 
 IMG = "img AS (SELECT vec_id AS y, CAST(i - 1 AS BIGINT) AS x, CAST(floor(CAST(embedding[i] AS DOUBLE) * 4096) AS BIGINT) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i))"
 PAD = "pad AS (SELECT p.y, img.x, img.v FROM (SELECT unnest(range(0, (SELECT (max(y) + 8) // 8 * 8 FROM img))) AS y) p JOIN img ON img.y = least(p.y, (SELECT max(y) FROM img)))"
@@ -44,10 +65,8 @@ LEVELS = ",\n".join([IMG, PAD, _level("w1", "pad"), _low("s1", "w1"), _level("w2
 PLAIN = f"""{LEVELS},
 plain AS (SELECT CASE WHEN kx + ky = 0 THEN 0 ELSE kx + 2 * ky END AS sb, r, c, v FROM w3
   UNION ALL SELECT 3 + kx + 2 * ky, r, c, v FROM w2 WHERE kx + ky > 0 UNION ALL SELECT 6 + kx + 2 * ky, r, c, v FROM w1 WHERE kx + ky > 0)"""
-WEIGHT = "[" + ", ".join(map(str, T.WEIGHTS)) + "][sb + 1]"
+WEIGHT = "[" + ", ".join(map(str, WEIGHTS)) + "][sb + 1]"
 SCALED = f"{PLAIN},\nscaled AS (SELECT sb, r, c, v * CAST(2 ** {WEIGHT} AS BIGINT) AS v FROM plain)"
-PLACES = "places(i, sb, s, a, b) AS (VALUES " + ", ".join(f"({i}, {', '.join(map(str, T.place(i)[:4]))})" for i in range(T.BLOCK)) + ")"
-
 
 def _blocks(source: str) -> str:
     return f"""{PLACES},
@@ -70,7 +89,7 @@ stats AS (SELECT *, CAST(greatest({weight}, CASE WHEN bdepth_dc <= 3 THEN 0 WHEN
   WHEN bdepth_dc - (1 + bdepth_ac // 2) > 10 THEN bdepth_dc - 10 ELSE 1 + bdepth_ac // 2 END) AS INTEGER) AS q FROM seen)"""
 
 
-STATS = f"{BLOCKS},\n{_stats(T.WEIGHTS[0])}"
+STATS = f"{BLOCKS},\n{_stats(WEIGHTS[0])}"
 
 
 def _fold(name: str) -> str:
@@ -107,7 +126,7 @@ coded AS (SELECT segment_id, kind, gaggle, CASE WHEN n > 1 THEN {_plain('CASE WH
   || CASE WHEN k < 0 THEN coalesce(array_to_string([{_plain('x', 'n')} FOR x IN ds], ''), '')
      ELSE coalesce(array_to_string([repeat('0', CAST(x >> k AS INTEGER)) || '1' FOR x IN ds], ''), '') || coalesce(array_to_string([{_plain('x', 'k')} FOR x IN ds], ''), '') END AS bits FROM opt)"""
 
-_W = "[" + ", ".join(str(T.WEIGHTS[T.place(i)[0]]) for i in range(T.BLOCK)) + "]"
+_W = "[" + ", ".join(str(WEIGHTS[sb]) for sb in _SB) + "]"
 _CH = [list(range(5 + 4 * f, 9 + 4 * f)) for f in range(3)]  # places in lists begin with 1
 _GR = [[list(range(17 + 16 * f + 4 * k, 21 + 16 * f + 4 * k)) for k in range(4)] for f in range(3)]
 
@@ -159,7 +178,7 @@ def _words_sql() -> str:
         flags(3, 1 + f, "tran_H", [(f"h{f}{k}_sent", g) for k, g in enumerate(_GR[f])])
         for k in range(4):
             types(3, 4 + 8 * f + 2 * k, "types_H", _GR[f][k], f"h{f}{k}_none")
-    rows.append((0, 0, "dc", f"CASE WHEN plane < q AND plane >= {T.WEIGHTS[0]} THEN CAST((dc >> plane) & 1 AS VARCHAR) ELSE '' END"))
+    rows.append((0, 0, "dc", f"CASE WHEN plane < q AND plane >= {WEIGHTS[0]} THEN CAST((dc >> plane) & 1 AS VARCHAR) ELSE '' END"))
     rows.append((4, 0, "refinement", "array_to_string([now[i] FOR i IN range(2, 65) IF above[i] = 1 AND op[i] = 1], '')"))
     union = "\n UNION ALL ".join(f"SELECT segment_id, b, gaggle, plane, {s} AS stage, {q} AS seq, '{k}' AS kind, {x} AS bits FROM t7" for s, q, k, x in rows)
     ctes.append(f"every_word AS ({union})")
@@ -169,8 +188,6 @@ def _words_sql() -> str:
 
 WORDS = f"{STATS},\n{_words_sql()}"
 _BIN = lambda w, n: format(w, f"0{n}b")
-SYMBOLS = "symbols(len, map, bits, sym) AS (VALUES " + ", ".join(f"({n}, '{k}', '{_BIN(w, n)}', {s})" for n, k, w, s in T.symbol_rows()) + ")"
-CODES = "codes(len, option, sym, code) AS (VALUES " + ", ".join(f"({n}, {o}, {s}, '{c}')" for n, o, s, c in T.code_rows()) + ")"
 VLC = f"""{WORDS}, {SYMBOLS}, {CODES},
 sym AS (SELECT w.*, length(w.bits) AS len, s.sym FROM words w JOIN symbols s ON s.len = length(w.bits) AND s.bits = w.bits
   AND s.map = CASE WHEN length(w.bits) = 3 AND w.kind = 'tran_D' THEN 'tran_D' WHEN length(w.bits) = 4 AND w.kind IN ('types_H', 'tran_H') THEN w.kind ELSE 'any' END
@@ -186,11 +203,11 @@ stream AS (SELECT w.segment_id, w.plane, w.stage, w.b, w.seq,
   LEFT JOIN codes k ON k.len = s.len AND k.option = c.option AND k.sym = s.sym)"""
 
 
-def _bits(condition: str = "true") -> str:
+def _bits(condition: str = "true", numbers: str = "true") -> str:
     rice = RICE[len(STATS) :]  # after the statistics, which the words need too
     return f"""{VLC}{rice},
-parts AS (SELECT segment_id, CASE kind WHEN 'dc' THEN 0 ELSE 2 END AS part, 0 AS plane, 0 AS stage, gaggle AS b, 0 AS seq, bits FROM coded
-  UNION ALL SELECT segment_id, 1, -p, 0, b, 0, CAST((content[1] >> p) & 1 AS VARCHAR) FROM cut JOIN stats USING (segment_id), (SELECT CAST(unnest(range(0, 64)) AS INTEGER) AS p) WHERE p < q AND p >= greatest(bdepth_ac, {T.WEIGHTS[0]})
+parts AS (SELECT segment_id, CASE kind WHEN 'dc' THEN 0 ELSE 2 END AS part, 0 AS plane, 0 AS stage, gaggle AS b, 0 AS seq, bits FROM coded WHERE {numbers}
+  UNION ALL SELECT segment_id, 1, -p, 0, b, 0, CAST((content[1] >> p) & 1 AS VARCHAR) FROM cut JOIN stats USING (segment_id), (SELECT CAST(unnest(range(0, 64)) AS INTEGER) AS p) WHERE p < q AND p >= greatest(bdepth_ac, {WEIGHTS[0]})
   UNION ALL SELECT segment_id, 3, -plane, stage, b, seq, bits FROM stream WHERE {condition}),
 whole AS (SELECT segment_id, string_agg(bits, '' ORDER BY part, plane, stage, b, seq) AS bits FROM parts GROUP BY segment_id)"""
 
@@ -212,11 +229,50 @@ head AS (SELECT *, CASE WHEN first THEN '1' ELSE '0' END || CASE WHEN last THEN
   || CASE WHEN last THEN {_plain('(8 - h % 8) % 8', '3')} || '00000' ELSE '' END
   || CASE WHEN first THEN repeat('0', 27) || '0' || '00000' || '11' || '0' || '0000' ELSE '' END
   || CASE WHEN first OR last AND size <> {SIZE} THEN {_plain('size', '20')} || '1100' ELSE '' END
-  || CASE WHEN first THEN '0' || '0' || CASE WHEN depth > 16 THEN '1' ELSE '0' END || '1' || {_plain('depth', '4')} || {_plain('w', '20')} || '0' || '111' || '0' || '{"".join(_BIN(w, 2) for w in reversed(T.WEIGHTS))}' || repeat('0', 11) ELSE '' END AS headers FROM file),
+  || CASE WHEN first THEN '0' || '0' || CASE WHEN depth > 16 THEN '1' ELSE '0' END || '1' || {_plain('depth', '4')} || {_plain('w', '20')} || '0' || '111' || '0' || '{"".join(_BIN(w, 2) for w in reversed(WEIGHTS))}' || repeat('0', 11) ELSE '' END AS headers FROM file),
 envelope AS (SELECT *, '00' || {_plain('length(headers) // 8 + data', '62')} || {_plain('32 - length(headers) // 8', '8')} || '01011110' || '00010000' || repeat('0', 16) AS env FROM head),
 bytes AS (SELECT *, CAST(32 + data AS BIGINT) AS n_bytes, rpad(env, CAST(256 - length(headers) AS INTEGER), '0') || headers AS top FROM envelope)"""
 _HEX = "array_to_string([substr('0123456789ABCDEF', 1 + 8 * CAST(top[4*i+1] AS INT) + 4 * CAST(top[4*i+2] AS INT) + 2 * CAST(top[4*i+3] AS INT) + CAST(top[4*i+4] AS INT), 1) FOR i IN range(0, 64)], '')"
 
+_SMOOTH = "img AS (SELECT y, x, y * 40 + x * 3 + (v >> 9) AS v FROM first_img)"
+SMOOTH = lambda sql: sql.replace(IMG, IMG.replace("img AS", "first_img AS", 1) + ", " + _SMOOTH)
+#: The wide image's channels, padded on both sides.
+_WIDE = f"SELECT vec_id // {ACROSS} AS y, CAST(vec_id % {ACROSS} * 64 + i - 1 AS BIGINT) AS x, CAST(floor(CAST(embedding[i] AS DOUBLE) * 4096) AS BIGINT) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i)"
+_CHANNELS = ("v", "-v", "v * 3 + x")
+_WIDE_IMG = lambda z: f"whole_img AS ({_WIDE}), img AS (SELECT y, x, {_CHANNELS[z]} AS v FROM whole_img WHERE x < {WIDE} AND y < (SELECT max(y) FROM whole_img))"
+_WIDE_PAD = "pad AS (SELECT p.y, q.x, img.v FROM (SELECT unnest(range(0, (SELECT (max(y) + 8) // 8 * 8 FROM img))) AS y) p, (SELECT unnest(range(0, (SELECT (max(x) + 8) // 8 * 8 FROM img))) AS x) q JOIN img ON img.y = least(p.y, (SELECT max(y) FROM img)) AND img.x = least(q.x, (SELECT max(x) FROM img)))"
+
+
+def _wide(ctes: str, select: str) -> str:
+    """A query over each channel of the wide image."""
+    one = lambda z: f"SELECT {z} AS z, * FROM ({_q(ctes.replace(IMG, _WIDE_IMG(z)).replace(PAD, _WIDE_PAD), select)})"
+    return "\nUNION ALL\n".join(one(z) for z in range(3))
+
+
+def _changing() -> str:
+    """CTE of the segments that the changes make: segment_id, size, start, strict and heuristics."""
+    from bitweave.sources.raster import STEP
+
+    rows, size, dc, ac = [], SIZE, 1, 1
+    for i in range(60):
+        own = [c for at, c in CHANGES if at == i]
+        for c in own:
+            size, dc, ac = c.get("segment_size", size), 1 - c.get("heuristic_dc", 1 - dc), 1 - c.get("heuristic_ac", 1 - ac)
+        rows.append(f"({i}, {size}, {int(bool(own) or i == 0)}, {int(dc)}, {int(ac)})")
+    total = f"(SELECT (max(x) + {STEP}) // {STEP} * ((max(y) + {STEP}) // {STEP}) FROM img)"
+    return f"""{IMG}, plan(segment_id, nominal, strict, dc, ac) AS (VALUES {', '.join(rows)}),
+placed AS (SELECT *, CAST(sum(nominal) OVER (ORDER BY segment_id) - nominal AS BIGINT) AS start, {total} AS total FROM plan),
+sized AS (SELECT *, least(nominal, total - start) AS size, start + nominal >= total AS last FROM placed WHERE start < total)"""
+
+
+def _generated(width: int, height: int, channels: int, bdepth: int, seed: int = 1067) -> str:
+    h = f"(z * 83492791 + y * 73856093 + x * 19349663 + {seed * 12345}) % 2147483648"
+    return f"""WITH cells AS (SELECT CAST(z AS INTEGER) AS z, y, x FROM (SELECT unnest(range(0, {channels})) AS z), (SELECT unnest(range(0, {height})) AS y), (SELECT unnest(range(0, {width})) AS x)),
+h0 AS (SELECT *, {h} AS h FROM cells), h1 AS (SELECT z, y, x, xor(h, h >> 13) * 1274126177 % 2147483648 AS h FROM h0), h2 AS (SELECT z, y, x, xor(h, h >> 16) * 1103515245 % 2147483648 AS h FROM h1),
+n AS (SELECT *, (xor(h, h >> 15) % 1048576) / 1048576.0::DOUBLE AS noise, y * 0.173::DOUBLE + x * 0.0030679615757712823::DOUBLE AS a FROM h2)
+SELECT z, y, x, CAST(floor((noise * 8 - 4 + 2 * cos(a * 3) + 2 * sin(a * 2)) * {1 << (bdepth - 4)}::DOUBLE) AS BIGINT) AS v FROM n"""
+
+
 ORACLES = {
     "img_from_embeddings": _q(IMG, "SELECT y, x, v FROM img"),
     "img_padded": _q(f"{IMG}, {PAD}", "SELECT y, x, v FROM pad"),
@@ -225,7 +281,7 @@ ORACLES = {
     "img_linear": _q(IMG, "SELECT y * 64 + x AS lin, v FROM img WHERE y * 64 + x BETWEEN 1000 AND 5999"),
     "img_append": _q(IMG, "SELECT y, x, v FROM img WHERE y < 100 UNION ALL SELECT y + 100, x, v FROM img"),
     "img_meta": _q(IMG, f"SELECT max(x) + 1 AS width, max(y) + 1 AS height, 1 AS channels, CAST(1 + {_width('max(CASE WHEN v < 0 THEN -1 - v ELSE v END)')} AS INTEGER) AS bdepth, (max(x) + 8) // 8 * 8 AS padded_width, (max(y) + 8) // 8 * 8 AS padded_height, CAST((max(y) + 8) // 8 * 8 - max(y) - 1 AS INTEGER) AS pad_rows FROM img"),
-    "img_generate": "SELECT CAST(64 AS BIGINT) AS width, CAST(48 AS BIGINT) AS height, 3 AS channels, 0 AS pad_rows",
+    "img_generate": _generated(64, 48, 3, 12),
     "dwt1d_row": _q(f"{IMG}, {PAD}, {_lines('w', 'pad', 'y', 'x')}", "SELECT y, 0 AS high, CAST(i - 1 AS BIGINT) AS at, l[i] AS v FROM w, (SELECT unnest(range(1, 33)) AS i) UNION ALL SELECT y, 1, i - 1, h[i] FROM w, (SELECT unnest(range(1, 33)) AS i)"),
     "idwt1d_row": _q(f"{IMG}, {PAD}", "SELECT y, x, v FROM pad"),
     "dwt2d_l1": _q(f"{IMG}, {PAD}, {_level('w1', 'pad')}", "SELECT kx, ky, r, c, v FROM w1"),
@@ -250,7 +306,17 @@ ORACLES = {
     "tran_words": _q(WORDS, _SHOWN + "kind LIKE 'tran%'"),
     "refinement_bits": _q(WORDS, _SHOWN + "kind = 'refinement'"),
     "stage0_dc": _q(WORDS, _SHOWN + "kind = 'dc'"),
-    "additional_dc": _q(f"{PLAIN},\n{_blocks('plain')},\n{_stats(0)}", "SELECT segment_id, b, p AS plane, CAST((content[1] >> p) & 1 AS INTEGER) AS bit FROM cut JOIN stats USING (segment_id), (SELECT CAST(unnest(range(0, 64)) AS INTEGER) AS p) WHERE p < q AND p >= least(bdepth_ac, 2)"),
+    "additional_dc": SMOOTH(_q(STATS, f"SELECT segment_id, b, p AS plane, CAST((content[1] >> p) & 1 AS INTEGER) AS bit FROM cut JOIN stats USING (segment_id), (SELECT CAST(unnest(range(0, 64)) AS INTEGER) AS p) WHERE p < q AND p >= greatest(bdepth_ac, {WEIGHTS[0]})")),
+    "smooth_roundtrip": SMOOTH(_q(IMG, "SELECT y, x, v FROM img")),
+    "wide_meta": "SELECT min(width) AS width, min(height) AS height, 3 AS channels, max(bdepth) AS bdepth, min(padded_width) AS padded_width, min(padded_height) AS padded_height, min(pad_rows) AS pad_rows FROM (" + _wide(IMG, f"SELECT max(x) + 1 AS width, max(y) + 1 AS height, CAST(1 + {_width('max(CASE WHEN v < 0 THEN -1 - v ELSE v END)')} AS INTEGER) AS bdepth, (max(x) + 8) // 8 * 8 AS padded_width, (max(y) + 8) // 8 * 8 AS padded_height, CAST((max(y) + 8) // 8 * 8 - max(y) - 1 AS INTEGER) AS pad_rows FROM img") + ")",
+    "wide_blocks": _wide(BLOCKS, "SELECT blk, array_to_string(content, ',') AS content FROM blocks"),
+    "wide_roundtrip": _wide(IMG, "SELECT y, x, v FROM img"),
+    "channel_count": "SELECT CAST(3 AS BIGINT) AS channels, true AS consistent",
+    "settings_coded": _q(_changing(), "SELECT CAST(segment_id AS BIGINT) AS segment_id, CAST(size AS BIGINT) AS size, start, CAST(strict AS BIGINT) AS part2, CAST(CASE WHEN strict = 1 OR last AND size <> nominal THEN 1 ELSE 0 END AS BIGINT) AS part3, CAST(dc AS BIGINT) AS optimal_dc, CAST(ac AS BIGINT) AS optimal_ac FROM sized"),
+    "settings_roundtrip": _q(IMG, "SELECT y, x, v FROM img"),
+    "header_check": "SELECT 0 AS z, CAST(i AS BIGINT) AS segment_id, p AS problem FROM (VALUES (2, 'gap'), (2, 'truncated'), (3, 'marker'), (4, 'repeated')) t(i, p)",
+    "bare_size": _q(_HEAD, "SELECT segment_id, CAST(length(headers) // 8 + data AS BIGINT) AS n_bytes, CAST(length(headers) // 8 AS BIGINT) AS header_end, CAST(bdepth_dc AS BIGINT) AS bdepth_dc, CAST(bdepth_ac AS BIGINT) AS bdepth_ac FROM bytes"),
+    "part_bits": _q(_bits("stage <> 3", "kind = 'dc'"), _BITS),
     "symbols": _q(VLC, "SELECT segment_id, plane, CAST(len AS INTEGER) AS len, sym, count(*) AS n FROM sym GROUP BY ALL"),
     "vlc_option": _q(VLC, "SELECT segment_id, plane, gaggle, CAST(len AS INTEGER) AS len, option, n, CAST(bits AS BIGINT) AS bits FROM choice"),
     "vlc_length": _q(VLC, "SELECT segment_id, plane, stage, CAST(sum(length(bits)) AS BIGINT) AS bits FROM stream GROUP BY ALL"),

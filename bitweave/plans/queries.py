@@ -19,6 +19,10 @@ SIZE = 100
 SLICE = (100, 10, 50, 40)
 #: Stretches of lines that a sparse settings table could name: (first segment, blocks, heuristic).
 SETTINGS = ((0, 100, False), (2, 100, False), (3, 64, True), (5, 64, True))
+#: Settings that change with segments, as the coder takes them.
+CHANGES = ((1, {"segment_size": 64, "heuristic_dc": True}), (3, {"segment_size": 80, "heuristic_ac": True}), (4, {"heuristic_dc": False}))
+#: The wide image: its width, and how many vectors stand beside each other in a line.
+WIDE, ACROSS, CHANNELS = 509, 8, 3
 
 
 def image(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +30,19 @@ def image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.from_vectors(table, row="vec_id", values="embedding", image_id="embeddings")
 
 
+def smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slope with little on it: deep DC coefficients beside shallow AC ones."""
+    return image(spark, sf_dir).withColumn("v", F.col("y") * 40 + F.col("x") * 3 + F.shiftright("v", 9))
+
+
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three channels of several tiles, with sides that aren't multiples of eight: lines of ACROSS vectors, cut off at WIDE, without the last line."""
+    one = image(spark, sf_dir).select("image_id", F.expr(f"y div {ACROSS}").alias("y"), (F.col("y") % ACROSS * 64 + F.col("x")).alias("x"), "v").where(F.col("x") < WIDE)
+    lines = one.join(one.agg((F.max("y")).alias("lines")), F.col("y") < F.col("lines")).drop("lines")
+    channel = F.explode(F.array(*(F.struct(F.lit(z).alias("z"), v.cast("bigint").alias("v")) for z, v in enumerate((F.col("v"), -F.col("v"), F.col("v") * 3 + F.col("x"))))))
+    return lines.select("image_id", "y", "x", channel.alias("c")).select("image_id", "c.z", "y", "x", "c.v")
+
+
 def _padded(spark, sf_dir):
     return raster.padded(image(spark, sf_dir))
 
@@ -79,8 +96,7 @@ def img_meta(spark, sf_dir):
 
 
 def img_generate(spark, sf_dir):
-    """Noise has no counterpart in SQL; the depth of its samples does."""
-    return raster.meta(raster.generate(spark, 64, 48, channels=3, bdepth=12)).select("width", "height", "channels", "pad_rows")
+    return raster.generate(spark, 64, 48, channels=3, bdepth=12).select("z", "y", "x", "v")
 
 
 def dwt1d_row(spark, sf_dir):
@@ -202,10 +218,69 @@ def stage0_dc(spark, sf_dir):
 
 
 def additional_dc(spark, sf_dir):
-    cut = segments.cut(_blocks(spark, sf_dir, (0,) * 10), SIZE)
-    # a depth of 0 for AC leaves all quantised DC bits to additional planes
-    stats = segments.statistics(cut, 0).withColumn("bdepth_ac", F.least("bdepth_ac", F.lit(2)))
-    return words.additional_dc(cut, stats, (0,) * 10).select("segment_id", "b", "plane", "bit")
+    cut = segments.cut(codec.blocks_of(smooth(spark, sf_dir)), SIZE)
+    return words.additional_dc(cut, segments.statistics(cut)).select("segment_id", "b", "plane", "bit")
+
+
+def smooth_roundtrip(spark, sf_dir):
+    """Files with additional DC planes, and back."""
+    return codec.restore(codec.compress(smooth(spark, sf_dir), codec.Settings(segment_size=SIZE))).select("y", "x", "v")
+
+
+def wide_meta(spark, sf_dir):
+    return raster.meta(wide(spark, sf_dir)).select("width", "height", "channels", "bdepth", "padded_width", "padded_height", "pad_rows")
+
+
+def wide_blocks(spark, sf_dir):
+    """Blocks across the seams of tiles, and of padding on both sides."""
+    return codec.blocks_of(wide(spark, sf_dir)).select("z", "blk", F.array_join("content", ",").alias("content"))
+
+
+def wide_roundtrip(spark, sf_dir):
+    files = codec.compress(wide(spark, sf_dir), codec.Settings(segment_size=SIZE))
+    return codec.restore(files, strict=True).select("z", "y", "x", "v")
+
+
+def channel_count(spark, sf_dir):
+    """Channels by the flags of first and last segments."""
+    heads = protocol.parsed(codec.compress(wide(spark, sf_dir), codec.Settings(segment_size=SIZE)))
+    return protocol.channels(heads).select("channels", "consistent")
+
+
+def _changing(spark, sf_dir):
+    return codec.compress(image(spark, sf_dir), codec.Settings(segment_size=SIZE), CHANGES)
+
+
+def settings_coded(spark, sf_dir):
+    """Sizes, places and flags of segments whose settings change, by their headers."""
+    rows = codec.scanned(_changing(spark, sf_dir))
+    return rows.select("segment_id", F.col("size").cast("bigint").alias("size"), F.col("start").cast("bigint").alias("start"), "part2", "part3", "optimal_dc", "optimal_ac")
+
+
+def settings_roundtrip(spark, sf_dir):
+    return codec.restore(_changing(spark, sf_dir), strict=True).select("y", "x", "v")
+
+
+def header_check(spark, sf_dir):
+    """Problems of files of which one is lost, one cut off, one no segment file and one there twice."""
+    files = _files(spark, sf_dir)
+    n = F.col("segment_id")
+    content = F.when(n == 2, F.expr("substring(content, 1, 40)")).when(n == 3, F.expr("overlay(content placing x'00' from 10)")).otherwise(F.col("content"))
+    broken = files.where("segment_id <> 1").withColumn("content", content)
+    broken = broken.unionByName(files.where("segment_id = 4"))
+    return protocol.problems(protocol.parsed(broken)).select("z", "segment_id", "problem")
+
+
+def bare_size(spark, sf_dir):
+    """Segments without an envelope: their bytes, and the bytes before the data."""
+    files = codec.compress(image(spark, sf_dir), codec.Settings(segment_size=SIZE, protocol="memory"))
+    return protocol.parsed(files, protocol="memory").select("segment_id", "n_bytes", F.col("header_end").cast("bigint").alias("header_end"), "bdepth_dc", "bdepth_ac")
+
+
+def part_bits(spark, sf_dir):
+    """Streams without the depths of blocks and without their grandchildren."""
+    rules = entropy.Rules(parts=tuple(p for p in entropy.PARTS if p not in ("bdepth_ac", "stage_3")))
+    return entropy.segment_bits(_cut(spark, sf_dir), rules=rules).select("segment_id", "n_bits", F.md5("bits").alias("digest"))
 
 
 def symbols(spark, sf_dir):
@@ -272,5 +347,6 @@ ALL = (
     blocks, segment_cut, bdepth, block_depth, quant_dc, dc_delta, ac_delta, reference_sample, k_optimal, k_heuristic, dc_bits, acdepth_bits,
     types_words, signs_words, tran_words, refinement_bits, stage0_dc, additional_dc, symbols, vlc_option, vlc_length, segment_bits, early_stop,
     segment_file, compressed_size, header_scan, decode_roundtrip, settings_asof, settings_dedupe, seq_check,
+    smooth_roundtrip, wide_meta, wide_blocks, wide_roundtrip, channel_count, settings_coded, settings_roundtrip, header_check, bare_size, part_bits,
 )
 QUERIES = {f.__name__: f for f in ALL}

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 PIXELS = ("image_id", "z", "y", "x", "v")
 #: Sides are padded to multiples of this.
 STEP = 8
+#: The noise's modulus, and its factors with the shifts that fold before each.
+NOISE = 1 << 31, ((1274126177, 13), (1103515245, 16))
 
 
 def from_vectors(vectors: DataFrame, *, row: str, values: str, image_id: str = "image", scale: int = 4096) -> DataFrame:
@@ -23,13 +25,17 @@ def from_vectors(vectors: DataFrame, *, row: str, values: str, image_id: str = "
 def generate(spark: SparkSession, width: int, height: int, *, channels: int = 1, bdepth: int = 12, signed: bool = True, seed: int = 1067, image_id: str = "noise") -> DataFrame:
     """Waves and noise in a range of bdepth bits, the same for the same seed.
 
-    The noise comes from a hash of the place, so any partitioning gives the
-    same pixels. Unsigned images hold magnitudes.
+    The noise comes from the place by multiplying and folding modulo 2**31, so
+    any partitioning gives the same pixels, and so does SQL elsewhere. Unsigned
+    images hold magnitudes.
     """
     wide = spark.range(height * width * channels)
     y, x, z = F.expr(f"id div {width} % {height}"), F.col("id") % width, F.expr(f"id div {width * height}")
     cells = wide.select(z.cast("int").alias("z"), y.alias("y"), x.alias("x"))
-    noise = F.pmod(F.xxhash64("z", "y", "x", F.lit(seed)), F.lit(1 << 20)) / (1 << 20)
+    h = (F.col("z") * F.lit(83492791).cast("bigint") + F.col("y") * F.lit(73856093).cast("bigint") + F.col("x") * F.lit(19349663).cast("bigint") + F.lit(seed * 12345).cast("bigint")) % NOISE[0]
+    for factor, shift in NOISE[1]:
+        h = h.bitwiseXOR(F.shiftright(h, shift)) * F.lit(factor).cast("bigint") % NOISE[0]
+    noise = (h.bitwiseXOR(F.shiftright(h, 15)) % (1 << 20)) / (1 << 20)
     a = F.col("y") * 0.173 + F.col("x") * 0.0030679615757712823  # pi / 1024
     v = F.floor((noise * 8 - 4 + 2 * F.cos(a * 3) + 2 * F.sin(a * 2)) * 2.0 ** (bdepth - 4)).cast("bigint")
     return cells.select(F.lit(image_id).alias("image_id"), "z", "y", "x", (v if signed else F.abs(v)).alias("v"))

@@ -27,3 +27,14 @@ def test_command_line_tells_errors(capsys):
     assert main(["compress", "--dwt", "fp", "--dst", "/nowhere"]) == 2
     said = capsys.readouterr().err
     assert "integer wavelet" in said and "exactly one" in said
+
+
+def test_command_line_settings(spark, tmp_path, capsys):
+    out, wide = str(tmp_path / "s"), ["--generate", "40", "48", "--size", "16"]
+    assert main(["compress", *wide, "--at", "1:segment_size=10", "--dst", out]) == 2 and "16 to" in capsys.readouterr().err
+    assert main(["compress", *wide, "--at", "1:segment_size=20,heuristic_dc", "--id", "named", "--dst", f"file://{out}"]) == 0
+    assert main(["restore", "--path", out, "--strict", "--report", "--transpose", "yes", "--dst", str(tmp_path / "p")]) == 0
+    back = spark.read.parquet(str(tmp_path / "p"))
+    assert back.count() == 40 * 48 and {r.image_id for r in back.select("image_id").distinct().collect()} == {"named"} and back.agg(F.max("y")).collect()[0][0] == 39
+    assert main(["restore", "--path", f"{out}/*segment_1*", "--strict", "--report", "--dst", str(tmp_path / "q")]) == 2
+    assert "gap" in capsys.readouterr().err

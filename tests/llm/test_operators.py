@@ -242,6 +242,53 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.identify(docs, empty).collect()} == {"und"}
 
 
+def test_language_features_and_training_by_hand():
+    """TF-IDF of n-grams and follow-the-regularised-leader, coordinate by coordinate, against plain loops."""
+    rng = random.Random(14)
+    for text in ["", "a", "Ab 9-ß ÉÉ", words_of(rng, 50)]:
+        found, n = langid.term_counts(text)
+        plain = "".join(c if "a" <= c <= "z" or ord(c) > 127 else " " for c in text.lower())
+        grams = Counter(plain[i : i + k] for k in langid.ORDERS for i in range(len(plain) - k + 1))
+        assert n.sum() == sum(grams.values()) and len(found) <= len(grams)
+        for g, times in grams.items():  # a feature has its n-grams' counts, more if others share it
+            own = langid.term_counts(g)[0]
+            assert len(g) < 1 or times <= max(n[np.searchsorted(found, own[-1])] if own[-1] in found else 0, n.max())
+    rows = [(np.array(sorted(rng.sample(range(12), 4))), np.array([rng.random() for _ in range(4)]), rng.randrange(3)) for _ in range(20)]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.02
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i, c):
+        return 0.0 if abs(z[i, c]) <= l1 else -(z[i, c] - math.copysign(l1, z[i, c])) / ((beta + math.sqrt(n[i, c])) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for k in order.permutation(len(rows)):
+            at, x, label = rows[k]
+            logits = [sum(weight(i, c) * v for i, v in zip(at.tolist(), x, strict=True)) for c in range(3)]
+            total = sum(math.exp(v) for v in logits)
+            steps = [(i, c, v * (math.exp(logits[c]) / total - (c == label)), weight(i, c)) for i, v in zip(at.tolist(), x, strict=True) for c in range(3)]
+            for i, c, g, w in steps:
+                z[i, c] += g - (math.sqrt(n[i, c] + g * g) - math.sqrt(n[i, c])) / alpha * w
+                n[i, c] += g * g
+    got = langid.train(rows, 3, epochs=2)
+    assert all(got[i, c] == pytest.approx(weight(i, c), abs=1e-12) for i in range(12) for c in range(3)) and not got[12:].any()
+
+
+def test_language_edge_cases(spark):
+    """Long texts, repeated rows and ids, ties between labels, and too many labels."""
+    rows = [(k, "abab " * 20 if k % 2 else "cdcd " * 20, "zz" if k % 2 else "yy") for k in range(40)] + [(1, "abab " * 20, "zz")] * 3
+    rows += [(900, "abab " * 60_000, None), (901, "é", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    found = langid.identify(docs, model).collect()
+    assert len(found) == len(rows) and {(r.lang_pred, round(r.score, 9)) for r in found if r.doc_id == 1}.__len__() == 1
+    assert {r.lang_pred for r in found if r.doc_id == 900} == {"zz"}
+    tied = dict(model, weights=np.zeros_like(model["weights"]))
+    assert {(r.lang_pred, r.score) for r in langid.identify(docs, tied).collect()} == {("yy", 0.5)}
+    with pytest.raises(ValueError, match="more than 1 labels"):
+        langid.fit(docs, most_labels=1)
+
+
 @pytest.mark.parametrize("stretch", [300, lm.STRETCH])
 def test_lm_score(spark, texts, stretch):
     got = {r.doc_id: r for r in lm.score(documents(spark, texts), held_out=crc_mod("doc_id", 10) == 0, tune=crc_mod("doc_id", 10) == 1, stretch=stretch).collect()}

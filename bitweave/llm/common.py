@@ -105,7 +105,7 @@ def crc_mod(col: str, n: int):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
     """Send whole texts to Python in batches of so many rows and bytes at most; 10,000 texts take much memory.
 
     Spark reads these settings when a plan runs, so they are lowered for the
@@ -117,10 +117,19 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20)
             spark.conf.set(key, str(most))
 
 
-def lean(run):
-    """A function for mapInArrow that gives unused memory back when a task ends: workers live on, and keep what they hold."""
+#: What a Python worker keeps from task to task, by name.
+kept: dict[str, object] = {}
+
+
+def lean(run, keep: str | None = None):
+    """A function for mapInArrow that bounds what a worker holds, as workers live on from task to task.
+
+    Before a task everything kept under other names goes, and after it unused
+    memory is given back to the system.
+    """
 
     def wrapped(batches):
+        forget_all_but(keep)
         try:
             yield from run(batches)
         finally:
@@ -129,6 +138,13 @@ def lean(run):
     return wrapped
 
 
+def forget_all_but(keep: str | None) -> None:
+    if gone := [name for name in kept if name != keep]:
+        for name in gone:
+            del kept[name]
+        give_back()
+
+
 def give_back() -> None:
     pa.default_memory_pool().release_unused()
     if _trim is not None:

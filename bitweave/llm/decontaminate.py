@@ -28,8 +28,8 @@ from bitweave.llm import textcodes as tc
 from bitweave.llm.common import bounded_batches, lean, put_file, read_file, scratch, stored
 
 WINDOW = 8
-#: Characters of a block about, blocks that a task keeps, and bytes of text for which it goes through the blocks if there are more.
-BLOCK_CHARS, KEEP, GATHER = 1_000_000, 4, 16 << 20
+#: Characters of a block about, and blocks that a task keeps; if there are more, it goes through them for each Arrow batch.
+BLOCK_CHARS, KEEP = 1_000_000, 4
 
 
 def _item_words(text: str | None) -> list[bytes]:
@@ -130,18 +130,14 @@ class _Chunk:
         self.low, self.starts, self.stops, self.first, self.codes = tc.words(raw, at)
 
 
-def _gathered(batches, column: int, most: int) -> Iterator[list[tuple[pa.RecordBatch, list[_Chunk]]]]:
-    """Runs of batches with their chunks, of about `most` bytes of text."""
-    out, held = [], 0
-    for batch in batches:
-        chunks = [_Chunk(i, raw, at) for i, _, raw, at in tc.chunks(batch.column(column))]
-        out.append((batch, chunks))
-        held += sum(len(c.low) for c in chunks)
-        if held >= most:
-            yield out
-            out, held = [], 0
-    if out:
-        yield out
+def _groups(column: pa.Array, n_blocks: int) -> Iterator[list[_Chunk]]:
+    """A batch's chunks: one at a time where all blocks are held, else together, so that the blocks are read once for them."""
+    chunks = (_Chunk(i, raw, at) for i, _, raw, at in tc.chunks(column))
+    if n_blocks > KEEP:
+        yield list(chunks)
+        return
+    for c in chunks:
+        yield [c]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS, carry: bool = False) -> DataFrame:
@@ -179,12 +175,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
     def run(batches):
         blocks = Blocks(folder, "windows", n_blocks)
-        for gathered in _gathered(batches, 1, GATHER if n_blocks > KEEP else 0):
-            items = [[[] for _ in range(batch.num_rows)] for batch, _ in gathered]
-            cover = [[np.zeros(len(c.codes) + 1, dtype=np.int64) for c in chunks] for _, chunks in gathered]
-            for _, index in blocks:
-                for (_, chunks), covers, found_items in zip(gathered, cover, items, strict=True):
-                    for c, covered in zip(chunks, covers, strict=True):
+        for batch in batches:
+            items = [[] for _ in range(batch.num_rows)]
+            words, hit = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for group in _groups(batch.column(1), n_blocks):
+                cover = [np.zeros(len(c.codes) + 1, dtype=np.int64) for c in group]
+                for _, index in blocks:
+                    for c, covered in zip(group, cover, strict=True):
                         if not len(c.codes):
                             continue
                         begin, found = index.hits(c.low, c.starts, c.stops, c.first, c.codes)
@@ -192,15 +189,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
                         np.add.at(covered, begin + index.lens[found], -1)
                         text = np.searchsorted(c.first, begin, side="right") - 1
                         for t, w in set(zip(text.tolist(), found.tolist(), strict=True)):
-                            found_items[c.i + t] += (index.items[x] for x in index.of[w])
-            for (batch, chunks), covers, found_items in zip(gathered, cover, items, strict=True):
-                words, hit = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-                for c, covered in zip(chunks, covers, strict=True):
+                            items[c.i + t] += (index.items[x] for x in index.of[w])
+                for c, covered in zip(group, cover, strict=True):
                     inside = np.concatenate([[0], np.cumsum(np.cumsum(covered[:-1]) > 0)])
-                    n = len(c.first) - 1
-                    words[c.i : c.i + n], hit[c.i : c.i + n] = np.diff(c.first), np.diff(inside[c.first])
-                named = [sorted({x for x in found if x is not None}) for found in found_items]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array(hit), pa.array(named, pa.list_(pa.string())), *batch.columns[2:]], names=[id_col, "n_words", "n_hit", "item_ids", *batch.schema.names[2:]])
+                    own = slice(c.i, c.i + len(c.first) - 1)
+                    words[own], hit[own] = np.diff(c.first), np.diff(inside[c.first])
+            named = [sorted({x for x in found if x is not None}) for found in items]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array(hit), pa.array(named, pa.list_(pa.string())), *batch.columns[2:]], names=[id_col, "n_words", "n_hit", "item_ids", *batch.schema.names[2:]])
 
     schema = T.StructType([docs.schema[0], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), *docs.schema[2:]])
     return docs.mapInArrow(lean(run), schema)
@@ -218,17 +213,18 @@ def _frequencies(docs: DataFrame, folder: str, n_blocks: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), b)), pa.array(k), pa.array(n[k])], names=["block", "k", "n"])
             totals.clear()
 
-        for gathered in _gathered(batches, 0, GATHER if n_blocks > KEEP else 0):
-            for b, known in blocks:
-                n = totals.setdefault(b, np.zeros(len(known), dtype=np.int64))
-                for c in (c for _, chunks in gathered for c in chunks):
-                    k = np.searchsorted(known, c.codes)
-                    k[k == len(known)] = 0
-                    found = known[k] == c.codes
-                    pair = np.unique(tc.owners(c.first)[found] * len(known) + k[found])
-                    n += np.bincount(pair % len(known), minlength=len(known))
-                if len(totals) >= KEEP and n_blocks > KEEP:
-                    yield from rows()
+        for batch in batches:
+            for group in _groups(batch.column(0), n_blocks):
+                for b, known in blocks:
+                    n = totals.setdefault(b, np.zeros(len(known), dtype=np.int64))
+                    for c in group:
+                        k = np.searchsorted(known, c.codes)
+                        k[k == len(known)] = 0
+                        found = known[k] == c.codes
+                        pair = np.unique(tc.owners(c.first)[found] * len(known) + k[found])
+                        n += np.bincount(pair % len(known), minlength=len(known))
+                    if len(totals) >= KEEP and n_blocks > KEEP:
+                        yield from rows()
         yield from rows()
 
     counts = docs.select("__text").mapInArrow(lean(run), "block long, k long, n long").groupBy("block", "k").agg(F.sum("n").alias("n"))

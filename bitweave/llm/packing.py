@@ -161,14 +161,15 @@ class Places:
         return sequence, offset
 
 
-def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, capacity: int = CAPACITY, chunk: int = tokens.CHUNK, keep_pieces: int = tokens.KEEP) -> DataFrame:
     """Pack whole documents into sequences of at most `capacity` tokens.
 
     Returns one row for each piece: the id column, piece, start, length,
     ids_crc32, sequence_id and offset (gapless from 0 in each sequence). Null
     text is empty and holds the end id alone. Rows with equal or null ids are
     packed one by one. A text without ids (end_id None) gives no piece. Extra
-    columns are not read; an empty table gives no rows.
+    columns are not read; an empty table gives no rows. chunk and keep_pieces
+    bound the memory of a worker's encoder and change no result.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -180,7 +181,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             row, piece, start, length, crc, rank = [], [], [], [], [], []
-            for i, ids in enumerate(tokens.encoded(batch.column(1), spec.value, end_id)):
+            for i, ids in enumerate(tokens.encoded(batch.column(1), spec.value, end_id, chunk, keep_pieces)):
                 n = len(ids) // 4
                 at, k = 0, 0
                 while at < n:
@@ -196,7 +197,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
             ids = batch.column(0).take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.full(len(row), part)), pa.array(rank, pa.int64())], names=["id", "piece", "start", "length", "ids_crc32", "part", "rank"])
 
-    pieces = stored(docs.mapInArrow(lean(cut), f"id {kind}, piece int, start long, length long, ids_crc32 long, part long, rank long"), "pieces")
+    pieces = stored(docs.mapInArrow(lean(cut, tokens.KEPT), f"id {kind}, piece int, start long, length long, ids_crc32 long, part long, rank long"), "pieces")
     return place(pieces, capacity).withColumnRenamed("id", id_col)
 
 
@@ -216,4 +217,4 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     numbered = pieces.join(before.hint("merge"), ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("at"))
     kind = pieces.schema["id"].dataType.simpleString()
-    return numbered.mapInArrow(lean(run), f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return numbered.mapInArrow(lean(run, tokens.KEPT), f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -166,7 +166,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
             part = slice(i, i + 50_000)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), shard)), key[part], pa.array(first[part]), pa.array(n[part])], names=["shard", "key", "first", "n"])
 
-    catalog = stored(dealt.mapInArrow(lean(run), "shard long, key long, first long, n long"), "catalog")
+    catalog = stored(dealt.mapInArrow(lean(run, tokens.KEPT), "shard long, key long, first long, n long"), "catalog")
     buckets = shards
 
     def index(batches):
@@ -188,7 +188,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([pa.array([int(b)]), pa.array([len(own)])], names=["bucket", "n"])
 
     keyed = catalog.where("key is not null").withColumn("bucket", _bucket("key", buckets)).repartition(buckets, "bucket")
-    made = keyed.mapInArrow(lean(index), "bucket long, n long").agg(F.sum("n")).collect()[0][0] or 0
+    made = keyed.mapInArrow(lean(index, tokens.KEPT), "bucket long, n long").agg(F.sum("n")).collect()[0][0] or 0
     return {"path": path, "buckets": buckets, "catalog": catalog, "keys": made}
 
 
@@ -230,7 +230,7 @@ def locate(spark: SparkSession, keys: DataFrame, store: dict, *, key_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["key", "shard", "first", "n"])
 
     asked = keys.withColumn("bucket", _bucket("key", buckets)).select("bucket", "key")
-    return asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), "key long, shard long, first long, n long")
+    return asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run, tokens.KEPT), "key long, shard long, first long, n long")
 
 
 def read_tokens(located: DataFrame, store: dict, *, payload: bool = False) -> DataFrame:
@@ -267,7 +267,7 @@ def read_tokens(located: DataFrame, store: dict, *, payload: bool = False) -> Da
             yield pa.RecordBatch.from_arrays([key, *(pa.array(x) for x in (shard, first, n, crc))] + ([pa.array(ids, pa.list_(pa.int64()))] if payload else []), names=["key", "shard", "first", "n", "ids_crc32"] + ["ids"] * payload)
 
     spark = located.sparkSession
-    return located.select("key", "shard", "first", "n").repartition(tasks_of(spark), "shard").sortWithinPartitions("shard", "first").mapInArrow(lean(run), schema)
+    return located.select("key", "shard", "first", "n").repartition(tasks_of(spark), "shard").sortWithinPartitions("shard", "first").mapInArrow(lean(run, tokens.KEPT), schema)
 
 
 def token_files(docs: DataFrame, tokenizer: str, **options) -> DataFrame:

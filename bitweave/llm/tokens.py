@@ -24,11 +24,16 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from bitweave.llm import common
 from bitweave.llm import textcodes as tc
 
 #: Pieces and bytes of pieces that a worker keeps at most, about; then it starts again.
 KEEP, KEEP_BYTES, RECENT = 1_500_000, 1 << 25, 100_000
+#: New pieces that the library gets in a call, and bytes of texts taken together.
+AT_ONCE, CHUNK = 20_000, 1 << 20
 _HEAD = "\x01"
+#: The name under which a worker keeps its encoder.
+KEPT = "encoder"
 #: Pieces of letters and a run of marks, which are two words of their own to the tokenizer.
 _PLAIN = re.compile(r"^(\x01?)([^\W\d_]+)([.,;:!?)]*)$", re.M)
 
@@ -110,9 +115,9 @@ class Encoder:
     def _forget(self) -> None:
         none = np.zeros(0, dtype=np.int64)
         # known codes in order with the numbers of their pieces: all, and the latest
-        self.known = [(none.view(np.uint64), none)] * 2
+        self.known = [(none.view(np.uint64), none.astype(np.int32))] * 2
         # of each piece: where its ids and its bytes begin, how many they are, and what stands before it
-        self.rows = np.zeros((1 << 12, 5), dtype=np.int64)
+        self.rows = np.zeros((1 << 12, 5), dtype=np.int32)
         self.pool, self.bytes_pool = np.zeros(1 << 16, dtype="<u4"), np.zeros(1 << 16, dtype=np.uint8)
         self.n = self.used = self.used_bytes = 0
 
@@ -132,7 +137,7 @@ class Encoder:
             order = np.argsort(keys, kind="stable")
             return keys[order], number[order]
 
-        self.known[1] = merged(self.known[1], (codes, self.n + np.arange(len(codes))))
+        self.known[1] = merged(self.known[1], (codes, np.arange(self.n, self.n + len(codes), dtype=np.int32)))
         self.n, self.used, self.used_bytes = self.n + len(codes), self.used + len(new), self.used_bytes + len(own)
         if len(self.known[1][0]) > RECENT:
             self.known = [merged(*self.known), tuple(x[:0] for x in self.known[1])]
@@ -170,7 +175,7 @@ class Encoder:
         # a code stands for one piece: all its occurrences are compared with the first one, and that with the piece kept
         differ = ~tc.equal_words(raw, starts, size, raw, starts[number], size[number]) | (kind != kind[number])
         old = np.flatnonzero(same >= 0)
-        rows = self.rows[same[old]]
+        rows = self.rows[same[old]].astype(np.int64)
         fine = tc.equal_words(raw, starts[where[old]], size[where[old]], self.bytes_pool, rows[:, 2], rows[:, 3], True) & (kind[where[old]] == rows[:, 4])
         if not fine.all():
             other = np.zeros(len(unique), dtype=bool)
@@ -184,13 +189,14 @@ class Encoder:
             w = where[new]
             pieces = [(_HEAD if k else "") + raw[a : a + b].tobytes().decode() for a, b, k in zip(starts[w].tolist(), size[w].tolist(), (kind[w] > 0).tolist(), strict=True)]
             self.memo.clear()
-            self._learn(set(pieces))
+            for k in range(0, len(pieces), AT_ONCE):
+                self._learn(set(pieces[k : k + AT_ONCE]))
             line = self.memo.get("\n") or self._ids("\n")
             found = [self.memo.get(p) or self._ids(p[1:] if p[0] == _HEAD else f" {p}") for p in pieces]
             self._add(unique[new], [line + f if k == 2 else f for f, k in zip(found, kind[w].tolist(), strict=True)], raw, starts[w], size[w], kind[w])
             same = self._find(unique)
             self.memo.clear()
-        begin, lens = self.rows[same, 0][inverse], self.rows[same, 1][inverse]
+        begin, lens = (self.rows[same, k].astype(np.int64)[inverse] for k in range(2))
         ids = self.pool[np.repeat(begin - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())].tobytes()
         pieces_of = np.where(odd, 0, np.diff(first))
         ends = np.concatenate([[0], np.cumsum(lens)])[np.cumsum(pieces_of)] * 4
@@ -249,22 +255,23 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in seen else next(hidden)) for b in range(256)}
 
 
-_made: dict[int, Encoder] = {}
+def encoder(spec: str, keep: int = KEEP) -> Encoder:
+    """One encoder for each worker and tokenizer, kept between the tasks that encode (lean with keep=KEPT)."""
+    made = common.kept.setdefault(KEPT, {})
+    key = hash(spec), keep
+    if key not in made:
+        made.clear()
+        made[key] = Encoder(spec, keep)
+    return made[key]
 
 
-def encoder(spec: str) -> Encoder:
-    """One encoder for each worker and tokenizer, kept between tasks."""
-    key = hash(spec)
-    if key not in _made:
-        _made.clear()
-        _made[key] = Encoder(spec)
-    return _made[key]
+def encoded(texts: pa.Array, spec: str, end_id: int | None, size: int = CHUNK, keep: int = KEEP):
+    """Yield the ids of each text of a string array with the end id, about size bytes at a time; null is empty.
 
-
-def encoded(texts: pa.Array, spec: str, end_id: int | None, size: int = 1 << 20):
-    """Yield the ids of each text of a string array with the end id, about size bytes at a time; null is empty."""
+    A worker keeps the ids of about `keep` pieces; fewer take less memory and more time.
+    """
     end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
-    codec = encoder(spec)
+    codec = encoder(spec, keep)
     for _, _, raw, at in tc.chunks(texts, size):
         for ids in codec.chunk(raw, at):
             yield ids + end

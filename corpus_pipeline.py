@@ -60,8 +60,8 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences."""
-    return pack(docs, tokenizer_path())
+    """Pack what is left into sequences, with a small encoder: executors hold what earlier stages have left as well."""
+    return pack(docs, tokenizer_path(), chunk=1 << 18, keep_pieces=400_000)
 
 
 STAGES = [("language", known_language), ("near-duplicates", one_of_each), ("decontamination", without_benchmarks), ("packing", packed)]

@@ -12,6 +12,10 @@ n-gram sets: members are dealt to blocks by hash and a task compares two blocks
 with a matrix product, so a large group is spread over many tasks and no pair
 of it is ever a row. What leaves a task is each node's number of links and a
 spanning forest of the links.
+
+A large component may be a chain of texts that are mostly unlike. Where fewer
+sets have to be sent for it, each of its buckets is verified by itself instead
+of the whole component; a pair counts in the first band that it shares.
 """
 
 from __future__ import annotations
@@ -141,6 +145,15 @@ def linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, similarity
     return out
 
 
+def _first_shared(links: np.ndarray, a: np.ndarray, b: np.ndarray, bucket: int) -> np.ndarray:
+    """Of the links of a bucket, those whose ends share no earlier band; a and b: band hashes of the nodes."""
+    i, j = np.nonzero(links)
+    out = np.zeros_like(links)
+    if len(i):
+        out[i, j] = a[i, (a[i] == b[j]).argmax(axis=1)] == bucket
+    return out
+
+
 def _forest(links: np.ndarray, a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Links that connect what all links connect, one fewer than nodes at most."""
     parent: dict[int, int] = {}
@@ -161,7 +174,7 @@ def _forest(links: np.ndarray, a: list[int], b: list[int]) -> list[tuple[int, in
     return out
 
 
-def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, similarity: float = SIMILARITY, recall: float = RECALL, block: int | None = None) -> DataFrame:
     """Classes of similar documents.
 
     Two texts are linked if the Jaccard similarity of their sets of n-word
@@ -178,52 +191,72 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     tasks = tasks_of(spark)
     bounded_batches(spark)
-    bands, rows = bands_for(similarity, recall)
+    bands, rows, block = *bands_for(similarity, recall), block or BLOCK
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     sketch = stored(sketches(docs.where("id is not null"), n, bands, rows), "sketches")
     nodes = stored(sketch.groupBy("node", "check").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
 
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("last > hub").select("band", "hub")
+    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("m")).where("last > hub").select("band", "hub", "m")
     near = banded.join(hubs, "band").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     candidates = stored(components(near), "candidates")
 
-    sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    members = stored(candidates.join(sizes, "component").join(nodes.select("node", "check", F.col("rep").alias("id")), "node").select("id", "node", "check", "component", "parts"), "members")
-    few = members.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(members) if few else members, "id").select("id", "text", "node", "check", "component", "parts")
+    def parts(m):
+        return F.ceil(F.col(m) / block)
+
+    # what a member is compared in: its component, or each of its buckets where that sends fewer sets
+    sizes = candidates.groupBy("component").agg(F.count("*").alias("m"))
+    cells = candidates.join(sizes, "component").select("node", F.col("component").alias("cell"), parts("m").cast("int").alias("parts"), F.lit(False).alias("split"))
+    large = sizes.where(F.col("m") > block).select("component", (F.col("m") * parts("m")).alias("whole"))
+    if not large.isEmpty():
+        buckets = hubs.join(candidates.withColumnRenamed("node", "hub"), "hub").join(large, "component")
+        split = stored(buckets.groupBy("component").agg(F.sum(F.col("m") * parts("m")).alias("sets"), F.first("whole").alias("whole")).where("sets < whole").select("component"), "split")
+        if not split.isEmpty():
+            inside = nodes.join(candidates.join(split, "component"), "node").select("node", F.explode("bands").alias("band"))
+            cells = cells.join(split.withColumnRenamed("component", "cell"), "cell", "left_anti").select("node", "cell", "parts", "split")
+            cells = cells.unionAll(inside.join(hubs, "band").select("node", F.col("band").alias("cell"), parts("m").cast("int"), F.lit(True)))
+            cells = stored(cells, "cells")
+    places = cells.groupBy("node").agg(F.collect_list(F.struct("cell", "parts")).alias("cells"), F.max("split").alias("split"))  # one, or at most one for each band
+    members = stored(places.join(nodes.select("node", "check", F.col("rep").alias("id")), "node").select("id", "node", "check", "cells", "split"), "members")
+    few = (members.agg(F.sum(F.size("cells"))).first()[0] or 0) <= BROADCAST_ROWS
+    texts = docs.join(F.broadcast(members) if few else members, "id").select("id", "text", "node", "check", "cells", "split")
 
     def spread(batches):
-        names = ["component", "i", "j", "block", "node", "codes"]
+        names = ["split", "cell", "i", "j", "block", "node", "codes", "bands"]
+        types = (pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
         for batch in batches:
             for i, j, raw, at in tc.chunks(batch.column(1)):
                 codes, owner, prints, _ = _sets(raw, at, n)
                 begin = np.searchsorted(owner, np.arange(j - i + 1))
                 out = []
-                node, check, component, parts = (batch.column(c).slice(i, j - i).to_pylist() for c in (2, 3, 4, 5))
+                node, check, cells, split = (batch.column(c).slice(i, j - i).to_pylist() for c in (2, 3, 4, 5))
                 for k in range(j - i):
                     if int(prints[0][k].view(np.int64)) != node[k] or int(prints[1][k].view(np.int64)) != check[k]:
                         continue  # another row of that id, with other words
-                    own = np.unique(codes[begin[k] : begin[k + 1]]).tobytes()
-                    b = int(tc.mix(np.array([node[k]], np.int64).view(np.uint64))[0] % np.uint64(parts[k]))
-                    out += ((component[k], min(b, o), max(b, o), b, node[k], own) for o in range(parts[k]))
+                    full = codes[begin[k] : begin[k + 1]]
+                    own = np.unique(full).tobytes()
+                    hashes = _signature_bands(full, np.zeros(1, np.int64), bands, rows).tobytes() if split[k] else None
+                    spot = tc.mix(np.array([node[k]], np.int64).view(np.uint64))[0]
+                    for cell in cells[k]:
+                        b = int(spot % np.uint64(cell["parts"]))
+                        out += ((split[k], cell["cell"], min(b, o), max(b, o), b, node[k], own, hashes) for o in range(cell["parts"]))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     def verify(batches):
-        name, run, out = None, {}, []
+        name, run, hashes, out = None, {}, {}, []
 
         def flush():
             if len(run) > 1:
                 order = sorted(run)  # by block, then node
-                a = [run[k] for k in order if k[0] == name[1]]
-                left = [k[1] for k in order if k[0] == name[1]]
-                same = name[1] == name[2]
-                b = None if same else [run[k] for k in order if k[0] == name[2]]
-                right = left if same else [k[1] for k in order if k[0] == name[2]]
-                if a and (same or b):
-                    links = linked(a, b, similarity)
+                first, second = ([k for k in order if k[0] == b] for b in name[2:])
+                same = name[2] == name[3]
+                if first and second:
+                    links = linked([run[k] for k in first], None if same else [run[k] for k in second], similarity)
+                    if name[0]:
+                        links = _first_shared(links, np.stack([hashes[k] for k in first]), np.stack([hashes[k] for k in second]), name[1])
+                    left, right = [k[1] for k in first], [k[1] for k in second]
                     for ids, degree in ((left, links.sum(axis=1)),) if same else ((left, links.sum(axis=1)), (right, links.sum(axis=0))):
                         out.extend((x, None, int(d)) for x, d in zip(ids, degree, strict=True) if d)
                     out.extend((x, y, 0) for x, y in _forest(links, left, right))
@@ -233,19 +266,21 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             out.clear()
 
         for batch in batches:
-            for component, i, j, block, node, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (component, i, j) != name:
+            for split, cell, i, j, own, node, codes, bands_of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (split, cell, i, j) != name:
                     flush()
-                    name, run = (component, i, j), {}
+                    name, run, hashes = (split, cell, i, j), {}, {}
                     if len(out) > 10_000:
                         yield from rows_out()
-                run[block, node] = np.frombuffer(codes, np.uint64)
+                run[own, node] = np.frombuffer(codes, np.uint64)
+                if split:
+                    hashes[own, node] = np.frombuffer(bands_of, np.int64)
         flush()
         if out:
             yield from rows_out()
 
-    blocks = texts.mapInArrow(lean(spread), "component long, i int, j int, block int, node long, codes binary")
-    dealt = blocks.repartition(tasks, "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    blocks = texts.mapInArrow(lean(spread), "split boolean, cell long, i int, j int, block int, node long, codes binary, bands binary")
+    dealt = blocks.repartition(tasks, "cell", "i", "j").sortWithinPartitions("split", "cell", "i", "j")
     links = stored(dealt.mapInArrow(lean(verify), "u long, v long, links long"), "links")
 
     degree = links.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("n_links"))

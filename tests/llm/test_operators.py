@@ -363,6 +363,22 @@ def test_loser_tree():
         assert list(warc.LoserTree(runs)) == sorted(x for r in runs for x in r)
 
 
+def test_jaccard_chain(spark, monkeypatch):
+    rng = random.Random(14)
+    stream = [f"w{rng.randrange(100_000)}" for _ in range(2520)]
+    rows = [(k, " ".join(stream[6 * k : 6 * k + 120])) for k in range(400)]  # a text is like the next two on both sides only
+    sets = [{tuple(w[k : k + 5]) for k in range(116)} for w in (t.split() for _, t in rows)]
+    links = [sum(a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for b in range(max(0, a - 20), min(400, a + 21))) for a in range(400)]
+    assert max(links) == 4
+    names = []
+    monkeypatch.setattr(jaccard, "stored", lambda df, name, real=jaccard.stored: (names.append(name), real(df, name))[1])
+    for block in (4, 256):
+        names.clear()
+        got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in jaccard.jaccard_classes(documents(spark, rows), block=block).collect()}
+        assert got == {k: (0, links[k], 0) for k in range(400)}
+        assert ("cells" in names) == (block == 4)  # small blocks: by buckets; large ones: as a whole
+
+
 def test_jaccard_classes(spark, texts, monkeypatch):
     rng = random.Random(8)
     near = words_of(rng, 120, 5000).split()

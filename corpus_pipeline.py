@@ -56,7 +56,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a whole window of a benchmark item; an item shorter than a window is one window."""
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=True)
-    return found.where(F.size("item_ids") == 0).select("row.*")
+    return found.where("n_hit = 0").select("row.*")  # items without an id count as well
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

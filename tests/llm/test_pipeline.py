@@ -67,9 +67,9 @@ def test_odd_rows_go_through(spark, sf_dir):
 
 def test_short_benchmark_items(spark, tmp_path):
     """An item shorter than a window goes by its own whole occurrence, not by a number of words."""
-    items = [(1, "alpha beta gamma"), (2, "one two three four five six seven"), (3, "k1 k2 k3 k4 k5 k6 k7 k8 k9"), (4, None)]
+    items = [(1, "alpha beta gamma"), (2, "one two three four five six seven"), (3, "k1 k2 k3 k4 k5 k6 k7 k8 k9"), (4, None), (None, "item without id")]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    rows = [(1, "x Alpha, beta gamma y"), (2, "alpha beta x gamma"), (3, "one two three four five six seven"), (4, "one two three four five six seven8 alpha beta"), (5, "y k2 k3 k4 k5 k6 k7 k8 k9"), (6, "k1 k2 k3 k4 k5 k6 k7 x k8 k9"), (7, None)]
+    rows = [(1, "x Alpha, beta gamma y"), (2, "alpha beta x gamma"), (3, "one two three four five six seven"), (4, "one two three four five six seven8 alpha beta"), (5, "y k2 k3 k4 k5 k6 k7 k8 k9"), (6, "k1 k2 k3 k4 k5 k6 k7 x k8 k9"), (7, None), (8, "an item without id")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = corpus_pipeline.without_benchmarks(spark, docs, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in got) == [2, 4, 6, 7]

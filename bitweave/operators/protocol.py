@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from bitweave.functions import bits as B
 from bitweave.functions import tables as T
+from bitweave.sources.scratch import stored
 
 HEADER, MARKER, VERSION = 32, 0x5E, 0x10
 
@@ -150,7 +151,9 @@ def problems(parsed_: DataFrame, content: str = "content") -> DataFrame:
     from bitweave.operators import settings
 
     key = ("image_id", "z", "segment_id")
-    size = F.length(content)
+    # a handful of numbers for each segment, read by every check below, so that files aren't made or read for each
+    parsed_ = stored(parsed_.select(*key, "first", "last", "marker", "version", "declared_bytes", "offset", "header_end", F.length(content).alias("__bytes")), "headers")
+    size = F.col("__bytes")
     enveloped_ = F.col("marker").isNotNull()
     checks = {
         "marker": enveloped_ & (F.col("marker") != MARKER) | (size < 4),

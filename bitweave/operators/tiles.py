@@ -3,9 +3,11 @@
 A tile and a border of 32 pixels around it hold all that the tile's
 coefficients depend on (28 pixels over three levels). So every pixel goes to
 its tile and, near an edge, to the neighbours; a tile is a bounded group
-however large the image is, and is transformed as a matrix. Tile sides are
-multiples of eight, so a tile's coefficients make whole blocks of 64, and the
-blocks leave the task assembled. The inverse deals blocks to tiles likewise.
+however large the image is, and is transformed as a matrix. What an Arrow batch
+has for a tile goes there as one row of packed places and values, so no pixel
+is shuffled as a row. Tile sides are multiples of eight, so a tile's
+coefficients make whole blocks of 64, and the blocks leave the task assembled.
+The inverse deals blocks to tiles likewise.
 """
 
 from __future__ import annotations
@@ -82,20 +84,65 @@ def _touched(at: str, side: int, halo: int, size: str):
     return F.explode(F.sequence(F.greatest(F.floor((F.col(at) - halo) / side), F.lit(0)), F.least(F.floor((F.col(at) + halo) / side), last)))
 
 
+def _spread(at: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of a place, tile) for all tiles of one axis that each place belongs to or borders on; the last may lie behind the image."""
+    low = np.maximum((at - HALO) // tile, 0)
+    n = (at + HALO) // tile - low + 1
+    rows = np.repeat(np.arange(len(at)), n)
+    return rows, low[rows] + np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def packed(pixels: DataFrame, tile: int = TILE) -> DataFrame:
+    """Pixels by tile: image_id, z, ty, tx, and packed places in the tile with its border (at) and values (v)."""
+    side = tile + 2 * HALO
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column(0).dictionary_encode()
+            z, y, x, v = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(1, 5))
+            rows, ty = _spread(y, tile)
+            again, tx = _spread(x[rows], tile)
+            rows, ty = rows[again], ty[again]
+            keys = tx, ty, z[rows], names.indices.to_numpy()[rows]
+            order = np.lexsort(keys)
+            keys, rows = [k[order] for k in keys], rows[order]
+            begin = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]))
+            at = (y[rows] - keys[1] * tile + HALO) * side + x[rows] - keys[0] * tile + HALO
+            ends = np.append(begin, len(rows))
+            binary = lambda a: pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer((ends * a.itemsize).astype(np.int32).tobytes()), pa.py_buffer(a.tobytes())])
+            tx, ty, z, name = (k[begin] for k in keys)
+            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(name)), pa.array(z.astype(np.int32)), pa.array(ty), pa.array(tx), binary(at.astype(np.int32)), binary(v[rows])], names=["image_id", "z", "ty", "tx", "at", "v"])
+
+    own = pixels.where("image_id is not null").select(F.col("image_id").cast("string"), "z", "y", "x", "v")
+    return own.mapInArrow(run, "image_id string, z int, ty bigint, tx bigint, at binary, v binary")
+
+
 def to_blocks(pixels: DataFrame, sizes: DataFrame, weights: Sequence[int] = T.WEIGHTS, tile: int = TILE) -> DataFrame:
-    """Blocks of scaled coefficients of padded images; sizes: image_id, padded_width, padded_height."""
-    rows = pixels.join(sizes.select("image_id", F.col("padded_width").alias("w"), F.col("padded_height").alias("h")), "image_id")
-    dealt = rows.withColumn("ty", _touched("y", tile, HALO, "h")).withColumn("tx", _touched("x", tile, HALO, "w"))
-    weights = [int(w) for w in weights]
+    """Blocks of scaled coefficients; sizes: image_id, width, height, padded_width, padded_height, as of raster.meta.
+
+    Images are padded in their tiles: the last column and the last row are
+    repeated, as raster.padded does. Padded pixels may be there already.
+    """
+    dealt = packed(pixels, tile).join(sizes.select("image_id", F.col("padded_width").alias("w"), F.col("padded_height").alias("h"), "width", "height"), "image_id")
+    dealt = dealt.where((F.col("ty") * tile < F.col("h")) & (F.col("tx") * tile < F.col("w")))
+    weights, side = [int(w) for w in weights], tile + 2 * HALO
 
     def run(table: pa.Table) -> pa.Table:
-        w, h, ty, tx, z = (table.column(c)[0].as_py() for c in ("w", "h", "ty", "tx", "z"))
+        w, h, ty, tx, z, width, height = (table.column(c)[0].as_py() for c in ("w", "h", "ty", "tx", "z", "width", "height"))
         y0, x0 = max(ty * tile - HALO, 0), max(tx * tile - HALO, 0)
         y1, x1 = min((ty + 1) * tile + HALO, h), min((tx + 1) * tile + HALO, w)
         a = np.zeros((y1 - y0, x1 - x0), dtype=np.int64)
-        y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
-        inside = (y < y1) & (x < x1)  # the halo's last row belongs to the next eight
-        a[y[inside] - y0, x[inside] - x0] = table.column("v").to_numpy()[inside]
+        at, v = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("at", np.int32), ("v", np.int64)))
+        y, x = at // side + ty * tile - HALO, at % side + tx * tile - HALO
+        inside = (y < y1) & (x < x1)
+        a[y[inside] - y0, x[inside] - x0] = v[inside]
+        # a border ends at a multiple of eight, so what reaches into the padding has the last column or row as well
+        if x1 > width:
+            a[:, width - x0 :] = a[:, width - x0 - 1, None]
+        if y1 > height:
+            a[height - y0 :] = a[height - y0 - 1]
         bands = [b << weights[k] for k, b in enumerate(forward_image(a))]
         rows, cols = (min((ty + 1) * tile, h) - ty * tile) // 8, (min((tx + 1) * tile, w) - tx * tile) // 8
         by, bx = (ty * tile - y0) // 8, (tx * tile - x0) // 8

@@ -123,8 +123,7 @@ def check_images(meta: DataFrame) -> DataFrame:
 
 def blocks_of(pixels: DataFrame, weights: Sequence[int] = T.WEIGHTS, meta: DataFrame | None = None) -> DataFrame:
     """Pixels to blocks of coefficients: padding, wavelet and gathering in one shuffle."""
-    meta = raster.meta(pixels) if meta is None else meta
-    return tiles.to_blocks(raster.padded(pixels, meta), meta, weights)
+    return tiles.to_blocks(pixels, raster.meta(pixels) if meta is None else meta, weights)
 
 
 def segmented(pixels: DataFrame, size: int, weights: Sequence[int] = T.WEIGHTS, meta: DataFrame | None = None) -> DataFrame:
@@ -197,26 +196,27 @@ def restore(files: DataFrame, *, compat: bool = False, trim: bool = True, strict
     headers say. byte_limit, stop_plane, stop_stage and dc_only end the reading
     of each segment early; parts are those that its stream has.
     """
+    files = stored(files.select("image_id", "z", "segment_id", "content", F.monotonically_increasing_id().alias("__row")), "files")  # else each step below would make them anew
     heads = protocol.parsed(files, protocol=protocol_)
     if strict and (found := protocol.problems(heads).limit(10).collect()):
         raise HeaderError("; ".join(f"{r.image_id} channel {r.z} segment {r.segment_id}: {r.problem}" for r in found))
     if protocol_ == "file":
         files = heads.where((F.col("marker") == protocol.MARKER) & (F.col("header_end") == protocol.HEADER)).select(*files.columns)
-    rows = scanned(files, protocol_)
+    rows = scanned(files, protocol_).drop("content")  # in order by headers alone
     weights = F.when(F.col("custom") == 1, F.array(*(F.col(f"weight{k}").cast("int") for k in range(10)))).otherwise(F.array(*(F.lit(w) for w in T.WEIGHTS)))
     data = F.expr("substring(content, header_end + 1)")
     if byte_limit is not None:
         data = F.substring(data, F.lit(1), F.greatest(byte_limit - F.col("header_end") + (F.col("offset") if protocol_ == "file" else F.lit(0)), F.lit(0)).cast("int"))
-    rows = stored(rows.withColumn("weights", weights).withColumn("data", data).drop("content"), "scanned")
-    whole = rows.select("image_id", "z", "segment_id", "size", "bdepth_dc", "bdepth_ac", "weights", "data")
+    rows = stored(rows.withColumn("weights", weights), "scanned")
+    own = rows.select("__row", "size", "bdepth_dc", "bdepth_ac", "weights", "start", "header_end", "offset")
+    whole = files.join(own, "__row").withColumn("data", data).drop("content")
     blocks = decode.decoded(whole, wide_dc=compat, stop_plane=stop_plane, stop_stage=stop_stage, dc_only=dc_only, parts=parts, skip_broken=not strict)
     # sizes follow from the width, the blocks and the padding that the last segment states
     image = rows.groupBy("image_id", "z").agg(F.max("width").alias("width"), F.max(F.col("start") + F.col("size")).alias("n"), F.max("pad_rows").alias("pad_rows"), F.max("transpose").alias("turned"), F.first("weights").alias("weights"))
     image = image.withColumn("padded_width", (F.ceil(F.col("width") / 8) * 8).cast("bigint")).withColumn("padded_height", F.expr("ceil(n / (padded_width div 8)) * 8"))
     sizes = image.groupBy("image_id").agg(F.max("padded_width").alias("padded_width"), F.max("padded_height").alias("padded_height"), F.max("width").alias("width"), F.max("pad_rows").alias("pad_rows"), F.max("turned").alias("turned"), F.first("weights").alias("weights"))
     sizes = stored(sizes, "sizes")  # one row for each image
-    placed = blocks.join(rows.select("image_id", "z", "segment_id", "start"), ["image_id", "z", "segment_id"]).select("image_id", "z", (F.col("start") + F.col("b")).alias("blk"), "content")
-    pixels = tiles.to_pixels(placed, sizes)
+    pixels = tiles.to_pixels(blocks.select("image_id", "z", "blk", "content"), sizes)
     turned = F.col("turned") == 1 if transpose is None else F.lit(transpose)
     if trim:
         limits = sizes.select("image_id", F.col("width").alias("__w"), (F.col("padded_height") - F.coalesce("pad_rows", F.lit(0))).alias("__h"), "turned")

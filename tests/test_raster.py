@@ -290,3 +290,42 @@ def test_listing(spark, tmp_path):
     read = files.read_segments(spark, f"{out}/*_segment_1*_0.ccsds")
     assert sorted(r.segment_id for r in read.collect()) == [1, 10, 11, 12] and read.agg(F.max(F.length("content"))).collect()[0][0] == 100
     assert [r.segment_id for r in files.read_segments(spark, out, limit=3).collect()] == [0, 1, 2]
+
+
+def counted(spark, rows):
+    """rows, and an accumulator of how many of them were made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    return rows.mapInArrow(run, rows.schema), made
+
+
+def test_pixels_travel_packed(spark):
+    """Pixels go to tiles in a row for each batch and tile, in any order, of images of any sides, padded there."""
+    few = raster.generate(spark, 300, 290)
+    rows = tiles.packed(few.repartition(1)).collect()
+    assert len(rows) <= 4 * (300 * 290 // 10_000 + 1) and {(r.ty, r.tx) for r in rows} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    pixels = raster.generate(spark, 41, 27, channels=2).unionByName(raster.generate(spark, 24, 50, image_id="other")).orderBy(F.rand(3))
+    meta = raster.meta(pixels)
+    one = lambda name: segments.blocks(wavelet.scaled(wavelet.forward(raster.padded(pixels.where(F.col("image_id") == name)))), meta)
+    right = one("noise").unionByName(one("other")).select("image_id", "z", "blk", "content")
+    for side in (16, tiles.TILE):
+        assert same(tiles.to_blocks(pixels, meta, tile=side), right)
+
+
+def test_files_are_made_once_for_restoring(spark):
+    pixels = raster.generate(spark, 40, 48, channels=2)
+    files_, made = counted(spark, codec.compress(pixels, codec.Settings(segment_size=16), [(1, {"segment_size": 20})]))
+    assert same(codec.restore(files_, strict=True), pixels)
+    assert made.value == 4
+    # a segment that is there twice gives its blocks from each file, without mixing both files' headers
+    assert same(codec.restore(files_.unionByName(files_)).distinct(), pixels)
+
+
+def test_files_are_made_once_for_their_problems(spark):
+    files_, made = counted(spark, codec.compress(raster.generate(spark, 40, 48), codec.Settings(segment_size=16)))
+    assert protocol.problems(protocol.parsed(files_)).isEmpty() and made.value == 2

@@ -14,6 +14,7 @@ from bitweave.functions import tables as T
 from bitweave.operators import entropy, protocol, rice, segments, settings, tiles, wavelet, words
 from bitweave.plans import codec
 from bitweave.sources import raster
+from bitweave.sources.scratch import stored
 
 SIZE = 100
 SLICE = (100, 10, 50, 40)
@@ -263,7 +264,7 @@ def settings_roundtrip(spark, sf_dir):
 
 def header_check(spark, sf_dir):
     """Problems of files of which one is lost, one cut off, one no segment file and one there twice."""
-    files = _files(spark, sf_dir)
+    files = stored(_files(spark, sf_dir), "files")  # read twice
     n = F.col("segment_id")
     content = F.when(n == 2, F.expr("substring(content, 1, 40)")).when(n == 3, F.expr("overlay(content placing x'00' from 10)")).otherwise(F.col("content"))
     broken = files.where("segment_id <> 1").withColumn("content", content)

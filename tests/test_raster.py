@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bitweave.functions import tables as T
 from bitweave.operators import decode, entropy, protocol, rice, segments, settings, tiles, wavelet
-from bitweave.plans import codec
+from bitweave.plans import codec, queries
 from bitweave.sources import files, raster, registry, scratch
 
 
@@ -326,6 +326,10 @@ def test_files_are_made_once_for_restoring(spark):
     assert same(codec.restore(files_.unionByName(files_)).distinct(), pixels)
 
 
-def test_files_are_made_once_for_their_problems(spark):
+def test_files_are_made_once_for_their_problems(spark, sf_dir, monkeypatch):
     files_, made = counted(spark, codec.compress(raster.generate(spark, 40, 48), codec.Settings(segment_size=16)))
     assert protocol.problems(protocol.parsed(files_)).isEmpty() and made.value == 2
+    held = queries._files(spark, sf_dir)
+    files_, made = counted(spark, held)
+    monkeypatch.setattr(queries, "_files", lambda *_: files_)
+    assert queries.header_check(spark, sf_dir).count() == 4 and made.value == held.count()

@@ -25,18 +25,26 @@ WORDS = "image_id string, z int, segment_id bigint, b bigint, gaggle bigint, pla
 #: Stages of a plane, in the order of the stream; the words of a stage go block by block.
 STAGES = ("dc", "parents", "children", "grandchildren", "refinement")
 
-_CHILDREN = [list(range(4 + 4 * f, 8 + 4 * f)) for f in range(3)]
-_GROUPS = [[list(range(16 + 16 * f + 4 * k, 20 + 16 * f + 4 * k)) for k in range(4)] for f in range(3)]
-_GRAND = [sum(g, []) for g in _GROUPS]
+#: Indices of children by family, and of grandchildren by family and group.
+_CHILDREN = np.arange(4, 16).reshape(3, 4)
+_GROUPS = np.arange(16, T.BLOCK).reshape(3, 4, 4)
 _SUBBAND = np.array([T.place(i)[0] for i in range(T.BLOCK)])
 
 
 def folded(asked: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(length, value) of the asked bits of each row, the first column on top."""
-    value = np.zeros(len(asked), dtype=np.int64)
-    for k in range(asked.shape[1]):
-        value = np.where(asked[:, k], value * 2 + bits[:, k], value)
-    return asked.sum(axis=1), value
+    """(length, value) of the asked bits along the last axis, the first one on top."""
+    kind = np.int16 if asked.shape[-1] < 15 else np.int64
+    upto = asked.cumsum(axis=-1, dtype=kind)
+    n = upto[..., -1]
+    return n, ((asked & (bits != 0)).astype(kind) << n[..., None] - upto).sum(axis=-1, dtype=kind)
+
+
+def _levels(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Whether anything holds among all descendants, those of each family, grandchildren of each, and groups of them."""
+    groups = x[..., _GROUPS].any(axis=-1)
+    grand = groups.any(axis=-1)
+    family = grand | x[..., _CHILDREN].any(axis=-1)
+    return family.any(axis=-1, keepdims=True), family, grand, groups
 
 
 def plane_words(content: np.ndarray, plane: int, weights: Sequence[int]):
@@ -45,36 +53,35 @@ def plane_words(content: np.ndarray, plane: int, weights: Sequence[int]):
     now, above = (magnitude >> plane & 1).astype(bool), magnitude >> (plane + 1) > 0
     open_ = np.asarray(weights)[_SUBBAND] <= plane
     free = ~above & open_
-
-    def types(stage: int, seq: int, kind: str, group: Sequence[int], none: np.ndarray | None):
-        asked = free[:, group] if none is None else free[:, group] & ~none[:, None]
-        yield stage, seq, kind, *folded(asked, now[:, group])
-        yield stage, seq + 1, "signs", *folded(asked & now[:, group], negative[:, group])
-
-    def flags(groups: list[list[int]], above_none: list[np.ndarray] | None):
+    held, hit, may = _levels(above), _levels(now), _levels(open_)
+
+    def types(stage: int, seqs: Sequence[int], kind: str, groups: np.ndarray, none: np.ndarray | None):
+        """The words of several groups, and their signs."""
+        asked = free[:, groups] if none is None else free[:, groups] & ~none[..., None]
+        found = now[:, groups]
+        shape = len(content), -1
+        (length, value), (signs, minus) = ([x.reshape(shape) for x in folded(*y)] for y in ((asked, found), (asked & found, negative[:, groups])))
+        for k, seq in enumerate(seqs):
+            yield stage, seq, kind, length[:, k], value[:, k]
+            yield stage, seq + 1, "signs", signs[:, k], minus[:, k]
+
+    def flags(level: int, none: np.ndarray):
         """(word, which groups end the descent): a flag is sent if nothing of its group was significant before."""
-        sent = np.stack([~above[:, g].any(axis=1) & open_[g].any() for g in groups], axis=1)
-        some = np.stack([now[:, g].any(axis=1) for g in groups], axis=1)
-        if above_none is not None:
-            sent &= ~np.stack(above_none, axis=1)
-        ends = sent & ~some
-        if above_none is not None:
-            ends |= np.stack(above_none, axis=1)
-        return folded(sent, some), [ends[:, k] for k in range(len(groups))]
-
-    yield from types(1, 0, "types_P", [1, 2, 3], None)
-    word, (none,) = flags([list(range(4, T.BLOCK))], None)
+        sent = ~held[level] & may[level] & ~none
+        return folded(sent, hit[level]), sent & ~hit[level] | none
+
+    yield from types(1, [0], "types_P", np.array([[1, 2, 3]]), None)
+    word, none = flags(0, np.zeros((len(content), 1), dtype=bool))
     yield 2, 0, "tran_B", *word
-    word, no_family = flags([c + g for c, g in zip(_CHILDREN, _GRAND, strict=True)], [none] * 3)
+    word, no_family = flags(1, none)
     yield 2, 1, "tran_D", *word
-    word, no_grand = flags(_GRAND, no_family)
+    word, no_grand = flags(2, no_family)
     yield 3, 0, "tran_G", *word
+    yield from types(2, [2, 4, 6], "types_C", _CHILDREN, no_family)
+    (length, value), no_group = flags(3, no_grand[..., None])
     for f in range(3):
-        yield from types(2, 2 + 2 * f, "types_C", _CHILDREN[f], no_family[f])
-        word, no_group = flags(_GROUPS[f], [no_grand[f]] * 4)
-        yield 3, 1 + f, "tran_H", *word
-        for k in range(4):
-            yield from types(3, 4 + 8 * f + 2 * k, "types_H", _GROUPS[f][k], no_group[k])
+        yield 3, 1 + f, "tran_H", length[:, f], value[:, f]
+    yield from types(3, range(4, 28, 2), "types_H", _GROUPS, no_group)
 
 
 def _strings(asked: np.ndarray, bits: np.ndarray) -> pa.Array:

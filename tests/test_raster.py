@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bitweave.functions import tables as T
-from bitweave.operators import decode, entropy, protocol, rice, segments, settings, tiles, wavelet
+from bitweave.operators import decode, entropy, protocol, rice, segments, settings, tiles, wavelet, words
 from bitweave.plans import codec, queries
 from bitweave.sources import files, raster, registry, scratch
 
@@ -333,3 +333,23 @@ def test_files_are_made_once_for_their_problems(spark, sf_dir, monkeypatch):
     files_, made = counted(spark, held)
     monkeypatch.setattr(queries, "_files", lambda *_: files_)
     assert queries.header_check(spark, sf_dir).count() == 4 and made.value == held.count()
+
+
+def test_settings_roundtrip_makes_files_once(spark, sf_dir, monkeypatch):
+    held = queries._changing(spark, sf_dir)
+    files_, made = counted(spark, held)
+    monkeypatch.setattr(queries, "_changing", lambda *_: files_)
+    assert same(queries.settings_roundtrip(spark, sf_dir), queries.img_from_embeddings(spark, sf_dir)) and made.value == held.count()
+
+
+def test_words_of_many_groups_at_once():
+    """Asked bits along the last axis, of short and long groups in any number of axes, against plain loops."""
+    rng = np.random.default_rng(6)
+    for shape in ((5, 3, 4, 4), (7, 3, 4), (6, 1), (4, 14), (4, 15), (9, 63)):
+        asked, bits = rng.random(shape) < 0.7, rng.random(shape) < 0.5
+        asked[0], bits[0] = True, True
+        lens, values = words.folded(asked, bits)
+        assert lens.shape == values.shape == shape[:-1]
+        for at in np.ndindex(shape[:-1]):
+            own = "".join(str(int(b)) for a, b in zip(asked[at], bits[at], strict=True) if a)
+            assert (lens[at], values[at]) == (len(own), int(own or "0", 2))
